@@ -6,19 +6,41 @@ from pyspark.sql import functions as F
 
 from saldora.llm.common import documents
 from saldora.llm.dedup import exact_dedup
+from saldora.llm.id_files import id_files
 from saldora.llm.mixing import mix
+from saldora.llm.token_counts import token_counts
+
+#: Folder of the public tokenizers' files on every machine; see tokenizer().
+TOKENIZERS = None
+
+
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file: in the folder TOKENIZERS, else where the installed package has it."""
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("times")
 
 
+def op7_token_counts(spark, sf_dir):
+    return token_counts(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op8_id_files(spark, sf_dir):
+    return id_files(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     found = exact_dedup(documents(spark, sf_dir), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op7_token_counts, op8_id_files, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": r"""
