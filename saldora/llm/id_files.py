@@ -138,7 +138,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache, self.find = Tokenizer.from_file(path), cache, byte_level().findall
+        self.tok, self.cache, self.find = Tokenizer.from_file(path), cache, byte_level()
         added = json.loads(self.tok.to_str())["added_tokens"]
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in added) + ")") if added else None
         self.names = {t["content"]: t["id"] for t in added}

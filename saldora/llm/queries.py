@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from saldora.llm.common import documents
 from saldora.llm.dedup import exact_dedup
 from saldora.llm.id_files import id_files
+from saldora.llm.langid import identify
 from saldora.llm.mixing import mix
 from saldora.llm.token_counts import token_counts
 
@@ -27,6 +28,10 @@ def op1_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("times")
 
 
+def op6_language_id(spark, sf_dir):
+    return identify(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -40,7 +45,7 @@ def op10_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op7_token_counts, op8_id_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_language_id, op7_token_counts, op8_id_files, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": r"""

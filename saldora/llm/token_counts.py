@@ -113,7 +113,7 @@ class TokenCounter:
     def __init__(self, path: str, cache: int = CACHE):
         self.merger, self.known, self.cache = ArrayMerger(path), {}, cache
         self.special = re.compile("|".join(map(re.escape, self.merger.special)) or "(?!)")
-        self.find = word_level().findall
+        self.find = word_level()
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         if "<" not in text:
