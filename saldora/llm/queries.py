@@ -9,6 +9,7 @@ from saldora.llm.dedup import exact_dedup
 from saldora.llm.id_files import id_files
 from saldora.llm.langid import identify
 from saldora.llm.mixing import mix
+from saldora.llm.secrets import secret_spans
 from saldora.llm.token_counts import token_counts
 
 #: Folder of the public tokenizers' files on every machine; see tokenizer().
@@ -28,6 +29,10 @@ def op1_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("times")
 
 
+def op5_secret_spans(spark, sf_dir):
+    return secret_spans(documents(spark, sf_dir))
+
+
 def op6_language_id(spark, sf_dir):
     return identify(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
@@ -45,7 +50,7 @@ def op10_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_language_id, op7_token_counts, op8_id_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_secret_spans, op6_language_id, op7_token_counts, op8_id_files, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": r"""
