@@ -59,3 +59,15 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows
 def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in dropped(__id); rows without an id stay."""
     return join_checked(docs, dropped, docs["doc_id"] == dropped["__id"], "left_anti")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], total: int, how: str = "left") -> DataFrame:
+    """rows joined to groups (one row a key, with its row count n); key columns are never null.
+
+    Groups of over a two-thousandth of all rows, of which there are at most 2,000, are broadcast, so that no task
+    gets all rows of such a group; the others are joined by key."""
+    big = max(1000, total // 2000)
+    hot, cold = F.broadcast(groups.where(F.col("n") > big)), groups.where(F.col("n") <= big)
+    near = rows.join(hot, key)
+    far = rows.join(hot.select(*key), key, "left_anti").join(cold, key, how)
+    return near.unionByName(far.select(*near.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from saldora.llm.common import documents
 from saldora.llm.dedup import exact_dedup
 from saldora.llm.id_files import id_files
+from saldora.llm.jaccard import jaccard_groups
 from saldora.llm.langid import identify
 from saldora.llm.mixing import mix
 from saldora.llm.quality import assess
@@ -34,6 +35,10 @@ def op2_quality_rules(spark, sf_dir):
     return assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_groups(documents(spark, sf_dir))
+
+
 def op5_secret_spans(spark, sf_dir):
     return secret_spans(documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op5_secret_spans, op6_language_id, op7_token_counts, op8_id_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_jaccard_join, op5_secret_spans, op6_language_id, op7_token_counts, op8_id_files, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": r"""
