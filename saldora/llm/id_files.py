@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldora.llm.common import new_path
-from saldora.llm.pretokens import byte_level
+from saldora.llm.pretokens import Numbers, byte_level
 
 MAGIC = b"SPL1"
 CHUNK = 65_536
-CACHE = 300_000
+CACHE = 700_000
 SLICE = 256
 
 
@@ -138,52 +139,46 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache, self.find = Tokenizer.from_file(path), cache, byte_level()
+        self.tok, self.find = Tokenizer.from_file(path), byte_level()
         added = json.loads(self.tok.to_str())["added_tokens"]
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in added) + ")") if added else None
         self.names = {t["content"]: t["id"] for t in added}
         self._reset()
+        self.numbers = Numbers(self._learn, self._reset, cache)
 
     def _reset(self) -> None:
-        self.known, self.flat = {}, np.empty(1 << 16, np.uint32)
-        self.begin, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-        for name, k in self.names.items():
-            self._keep([name], [[k]])
-
-    def _keep(self, words: list[str], ids: list[list[int]]) -> None:
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _learn(self, words: list[str], n: int) -> None:
+        ids = [[self.names[w]] if w in self.names else None for w in words]
+        plain = [w for w, i in zip(words, ids) if i is None]
+        found = iter(self.tok.encode_batch_fast(plain, add_special_tokens=False))
+        ids = [next(found).ids if i is None else i for i in ids]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.known), int(lens.sum())
+        total = int(lens.sum())
         while n + len(words) > len(self.size):
             self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.size[n : n + len(words)] = lens
         self.begin[n : n + len(words)] = self.used + np.cumsum(lens) - lens
         self.used += total
-        self.known.update(zip(words, range(n, n + len(words))))
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str | None) -> list[str]:
+        if not text:
+            return []
         if self.special is None or "<" not in text:
             return self.find(text)
         return [w for p in self.special.split(text) for w in ([p] if p in self.names else self.find(p))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text (lengths, flat ids)."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if new and len(self.known) + len(new) > self.cache:
-            self._reset()
-            new = set().union(*cut).difference(self.known)
-        if new:
-            words = list(new)
-            self._keep(words, [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)])
-        get = self.known.__getitem__
-        at = np.fromiter((k for c in cut for k in map(get, c)), np.int64, sum(map(len, cut)))
+        at, counts = self.numbers.of([self.pieces(t) for t in texts])
         size = self.size[at]
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(self.begin[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return np.diff(bounds), flat
 

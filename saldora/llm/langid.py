@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldora.llm.pretokens import letters
+from saldora.llm.pretokens import Numbers, letters
 
 SAMPLE = 200
 LANGUAGES = 1000
@@ -180,32 +180,24 @@ def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]], rounds: int = ROUN
 
 class Predictor:
     def __init__(self, vocab: Vocabulary, names: list[str], probs: np.ndarray, cache: int = CACHE):
-        self.vocab, self.names, self.probs, self.cache = vocab, names, scaled(vocab, probs), cache
-        self.find = letters()
+        self.vocab, self.names, self.probs, self.find = vocab, names, scaled(vocab, probs), letters()
         self._reset()
+        self.numbers = Numbers(self._learn, self._reset, cache)
 
     def _reset(self) -> None:
-        self.known, self.scores = {}, np.empty((1 << 12, len(self.names)), np.float32)
+        self.scores = np.empty((1 << 12, len(self.names)), np.float32)
 
-    def _learn(self, new: set[str]) -> None:
-        words, n = list(new), len(self.known)
+    def _learn(self, words: list[str], n: int) -> None:
         while n + len(words) > len(self.scores):
             self.scores = np.resize(self.scores, (2 * len(self.scores), len(self.names)))
         for k in range(0, len(words), 20_000):
-            self.scores[n + k : n + k + 20_000] [: len(words[k : k + 20_000])] = word_scores(self.vocab, words[k : k + 20_000], self.probs)
-        self.known.update(zip(words, range(n, n + len(words))))
+            some = words[k : k + 20_000]
+            self.scores[n + k : n + k + len(some)] = word_scores(self.vocab, some, self.probs)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        cut = [self.find(t.lower()) if t else [] for t in texts]
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > self.cache:
-            self._reset()
-            new = set().union(*cut)
-        self._learn(new)
-        get, n = self.known.__getitem__, np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter((k for c in cut for k in map(get, c)), np.int64, int(n.sum()))
+        at, n = self.numbers.of([self.find(t.lower()) if t else [] for t in texts])
         some = np.flatnonzero(n)
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if len(some):

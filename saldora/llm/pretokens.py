@@ -9,6 +9,9 @@ import functools
 import re
 import sys
 import unicodedata
+from itertools import chain, repeat
+
+import numpy as np
 
 #: The characters with the Unicode property White_Space.
 UNICODE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -77,3 +80,34 @@ def byte_symbols() -> list[str]:
             out.append(chr(free))
             free += 1
     return out
+
+
+class Numbers:
+    """Numbers strings from 0 as they come, and has them learned; forgets all once there are over limit of them."""
+
+    def __init__(self, learn, forget, limit: int):
+        self.learn, self.forget, self.limit, self.known = learn, forget, limit, {}
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def add(self, words: list[str]) -> None:
+        start = len(self.known)
+        self.learn(words, start)
+        self.known.update(zip(words, range(start, start + len(words))))
+
+    def of(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(the numbers of all strings, the length of each list); new strings are learned in the order of their text."""
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        words = list(chain.from_iterable(lists))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new = {words[i] for i in miss.tolist()}
+            if len(self.known) + len(new) > self.limit:
+                self.known = {}
+                self.forget()
+                new, miss = set(words), np.arange(len(words))
+            self.add(sorted(new.difference(self.known)))
+            at[miss] = np.fromiter((self.known[words[i]] for i in miss.tolist()), np.int32, len(miss))
+        return at, lens
