@@ -10,6 +10,7 @@ from saldora.llm.id_files import id_files
 from saldora.llm.jaccard import jaccard_groups
 from saldora.llm.langid import identify
 from saldora.llm.mixing import mix
+from saldora.llm.nbest import segmented
 from saldora.llm.quality import assess
 from saldora.llm.secrets import secret_spans
 from saldora.llm.token_counts import token_counts
@@ -55,12 +56,16 @@ def op8_id_files(spark, sf_dir):
     return id_files(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_nbest_pieces(spark, sf_dir):
+    return segmented(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     found = exact_dedup(documents(spark, sf_dir), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_jaccard_join, op5_secret_spans, op6_language_id, op7_token_counts, op8_id_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_jaccard_join, op5_secret_spans, op6_language_id, op7_token_counts, op8_id_files, op9_nbest_pieces, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": r"""
