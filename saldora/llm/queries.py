@@ -11,6 +11,7 @@ from saldora.llm.jaccard import jaccard_groups
 from saldora.llm.langid import identify
 from saldora.llm.mixing import mix
 from saldora.llm.nbest import segmented
+from saldora.llm.pseudo_likelihood import pseudo_likelihood
 from saldora.llm.quality import assess
 from saldora.llm.secrets import secret_spans
 from saldora.llm.token_counts import token_counts
@@ -36,6 +37,10 @@ def op2_quality_rules(spark, sf_dir):
     return assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_pseudo_likelihood(spark, sf_dir):
+    return pseudo_likelihood(documents(spark, sf_dir))
+
+
 def op4_jaccard_join(spark, sf_dir):
     return jaccard_groups(documents(spark, sf_dir))
 
@@ -65,7 +70,7 @@ def op10_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_jaccard_join, op5_secret_spans, op6_language_id, op7_token_counts, op8_id_files, op9_nbest_pieces, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_pseudo_likelihood, op4_jaccard_join, op5_secret_spans, op6_language_id, op7_token_counts, op8_id_files, op9_nbest_pieces, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": r"""
