@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saldora.llm.common import WORD, drop_ids, join_checked, stash
+from saldora.llm.common import WORD, join_checked, stash
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -24,13 +24,18 @@ CAP = 2
 BITS, LEVELS = 12, 5
 
 
+def keyed(docs: DataFrame) -> dict:
+    """Columns of a row of docs: __key (source, null last in order), __size in words, __hash of 60 bits."""
+    return {
+        "__key": F.when(F.isnull("source"), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))),
+        "__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+        "__hash": F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS)}
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, key (source, null last in order), size in words, hash of 60 bits: one scan, stashed."""
-    return stash(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.isnull("source"), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("key"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS).alias("hash")), "mix-sized")
+    """doc_id, key, size, hash: one scan, stashed."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n[2:]) for n, c in keyed(docs).items()])
+    return stash(rows, "mix-sized")
 
 
 def ranked(sources: DataFrame, parts: int = 8) -> DataFrame:
@@ -79,18 +84,31 @@ def thresholds(rows: DataFrame, sources: DataFrame, bits: int = BITS, levels: in
     return state.select("key", "total", "target", "passes", (F.col("low") + F.when(near, F.shiftleft(F.lit(1).cast("long"), width)).otherwise(0)).alias("limit"))
 
 
+def times(size: str, hash_: str):
+    """How often the mix takes a row."""
+    extra = F.when(F.col(hash_) < F.col("limit"), 1).otherwise(0)
+    return F.when(F.col(size) > 0, F.col("passes") + extra).otherwise(0).cast("long")
+
+
+def source_limits(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    return thresholds(rows, with_targets(rows.groupBy("key").agg(F.sum("size").alias("total")), weights, share, cap))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken (words taken, repeats counted), times."""
     rows = sized(docs)
-    sources = rows.groupBy("key").agg(F.sum("size").alias("total"))
-    limits = thresholds(rows, with_targets(sources, weights, share, cap))
-    times = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0)).otherwise(0).cast("long")
-    out = join_checked(rows, limits, "key").withColumn("times", times)
+    out = join_checked(rows, source_limits(rows, weights, share, cap), "key").withColumn("times", times("size", "hash"))
     return out.select("doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("times") * F.col("size")).alias("taken"), "times")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the mix takes at least once, columns unchanged. Rows without words stay: they weigh
-    nothing. A doc_id that stands in several rows stays if one of them is taken."""
-    left = mix(docs, **how).groupBy("doc_id").agg(F.max("times").alias("times"), F.max("size").alias("size"))
-    return drop_ids(docs, left.where("times = 0 and size > 0 and doc_id is not null").select(F.col("doc_id").alias("__id")))
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """Each row of docs as often as the mix takes it, columns unchanged; rows without words once.
+
+    Texts are not shuffled: the thresholds, one row a source, are brought to the scan (unless there are too many
+    sources to broadcast)."""
+    limits = source_limits(sized(docs), weights, share, cap).select(F.col("key").alias("__key"), "passes", "limit")
+    limits = limits.select("__key", F.struct("passes", "limit").alias("__l"))
+    extra = F.when(F.col("__hash") < F.col("__l.limit"), 1).otherwise(0)
+    often = F.when(F.col("__size") > 0, F.col("__l.passes") + extra).otherwise(1).cast("int")
+    out = join_checked(docs.withColumns(keyed(docs)), limits, "__key").withColumn("__times", F.explode(F.array_repeat(F.lit(0), often)))
+    return out.select(*docs.columns)
