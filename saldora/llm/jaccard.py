@@ -37,7 +37,7 @@ NEED, OF = 75, 100
 HASHES, AGREE = 8, 3
 SKETCH = 18
 LIST = 256
-ENTRIES = 2_000_000
+ENTRIES, FLUSH = 1_000_000, 400_000
 BLOCK = 64
 SLICE = 256
 PART = 1 << 20
@@ -192,12 +192,12 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         key, heads = None, []
         for batch in batches:
             out_a, out_b = [], []
-            for b, salt, a, data in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = np.frombuffer(data, np.uint64)
+            for b, salt, a, data in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                mine = np.frombuffer(data.as_buffer(), np.uint64)
                 if (b, salt) != key:
                     key, heads = (b, salt), []
                 if a is None:
-                    heads.append(mine)
+                    heads.append(mine.copy())
                     continue
                 for other in heads:
                     both = len(np.intersect1d(mine, other, assume_unique=True))
@@ -280,7 +280,7 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(row)
                 size += len(row[2]) // 8
-                if size >= ENTRIES or len(held) >= 60_000:
+                if size >= FLUSH or len(held) >= 60_000:
                     yield from flush(held)
                     held, size = [], 0
         yield from flush(held)
@@ -290,10 +290,10 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
             return
         lens = np.array([len(r[2]) // 8 for r in held])
         token = np.frombuffer(b"".join(r[2] for r in held), np.uint64)
-        owner = np.repeat(np.arange(len(held)), lens)
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), lens)
         pos = np.minimum(np.arange(len(token)) - np.repeat(np.cumsum(lens) - lens, lens), 65_535)
         table = np.array([(r[0], r[3], r[1]) for r in held], np.int64)
-        which = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        which = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(which, kind="stable")
         cut = np.searchsorted(which[order], np.arange(buckets + 1))
         rows = []
@@ -305,25 +305,31 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "token", "owner", "pos", "rows"])
 
     def meet(batches):
-        parts = {}
+        """Bucket by bucket, as the rows come in that order."""
+        bucket, rows = None, []
         for batch in batches:
-            for k, *data in zip(*(c.to_pylist() for c in batch.columns)):
-                parts.setdefault(k, []).append(data)
-        for k in list(parts):
-            rows = parts.pop(k)
+            for k, *data in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                if k != bucket:
+                    yield from met(rows)
+                    bucket, rows = k, []
+                rows.append([x.as_py() for x in data])
+        yield from met(rows)
+
+    def met(rows):
+        if rows:
             tables = [np.frombuffer(r[3], np.int64).reshape(-1, 3) for r in rows]
-            table = np.concatenate(tables)
-            base = np.cumsum([0, *map(len, tables)])
+            table, base = np.concatenate(tables), np.cumsum([0, *map(len, tables)])
             token = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-            owner = np.concatenate([np.frombuffer(r[1], np.uint16).astype(np.int64) + b for r, b in zip(rows, base)])
-            pos = np.concatenate([np.frombuffer(r[2], np.uint16).astype(np.int64) for r in rows])
+            owner = np.concatenate([np.frombuffer(r[1], np.uint16).astype(np.int32) + np.int32(b) for r, b in zip(rows, base)])
+            pos = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows]).astype(np.int32)
+            rows.clear()
             found = sorted(mixed_pairs(token, owner, pos, table[:, 1], table[:, 2], table[:, 0]))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
     index = rows.mapInArrow(prefixes, "doc_id long, n long, hashes binary").where("n > 0")
     index = join_checked(index, labels, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "hashes", F.coalesce("comp", "doc_id").alias("comp"))
-    dealt = index.mapInArrow(deal, "bucket int, token binary, owner binary, pos binary, rows binary").repartition(buckets, "bucket")
+    dealt = index.mapInArrow(deal, "bucket int, token binary, owner binary, pos binary, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return stash(dealt.mapInArrow(meet, "a long, b long").distinct(), "jaccard-crossing")
 
 
