@@ -1,0 +1,28 @@
+"""Literal rows for Spark and the same rows as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def frame(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    if isinstance(v, list):
+        return "[" + ", ".join(map(literal, v)) + "]"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return str(v)
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) t({columns})"
