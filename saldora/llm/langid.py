@@ -180,7 +180,8 @@ def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]], rounds: int = ROUN
 
 class Predictor:
     def __init__(self, vocab: Vocabulary, names: list[str], probs: np.ndarray, cache: int = CACHE):
-        self.vocab, self.names, self.probs, self.find = vocab, names, scaled(vocab, probs), letters()
+        self.vocab, self.names, self.find = vocab, names, letters()
+        self.probs = scaled(vocab, probs) if names else probs
         self._reset()
         self.numbers = Numbers(self._learn, self._reset, cache)
 
