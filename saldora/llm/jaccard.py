@@ -10,9 +10,10 @@ list is capped. It returns each document's component, so that a group of copies
 3. Highly similar sets: a class is compared with the smallest class of the buckets (equal minimum) it is in. If they
    link, its answers follow from that class's: both are in one component, and no pair within it is looked at again.
 4. Index lists: by the prefix principle two linked sets share a shingle among the rarest n - ceil(0.75 n) + 1 of each.
-   Lists of one component are skipped as a whole. In the others the entries, ordered by size, are cut into blocks,
-   and a pair of blocks is skipped if its sizes or its positions (what is left of the sets after the shared shingle)
-   cannot reach the overlap needed. The pairs left, all between different components, are compared in full.
+   Lists of one component are skipped as a whole. In the others the entries, ordered by position, are cut into
+   blocks, and a pair of blocks is skipped if its positions and sizes (what the sets can share before the shared
+   shingle and from it on) cannot reach the overlap needed. The pairs left, all between different components, share
+   so many listed shingles that they may link; these are compared in full.
 
 Sets travel once per comparison list, to tasks dealt by list and salt; a list of over LIST sets is split.
 
@@ -35,7 +36,7 @@ from saldora.llm.components import connected
 WORDS = 5
 NEED, OF = 75, 100
 HASHES, AGREE = 8, 3
-SKETCH = 18
+SKETCH = 20
 LIST = 256
 ENTRIES, FLUSH = 1_000_000, 400_000
 BLOCK = 64
@@ -228,35 +229,41 @@ def needed(n):
 
 
 def mixed_pairs(token, owner, pos, comp, size, ids):
-    """Pairs of ids that share a shingle in a list of several components, by blocks of the list.
+    """{(a, b, size of a, size of b): shared shingles} of sets of different components that meet in these lists.
 
-    token, owner, pos: the entries; comp, size, ids: by owner."""
-    order = np.lexsort((size[owner], token))
-    token, owner, pos = token[order], owner[order], pos[order]
+    token, owner, pos: the entries (pos: place in the set's order); comp, size, ids: by owner. At a shared shingle
+    two sets have at most min(pos) shared ones before it and min(size - pos) from it on. A pair of blocks of a list
+    whose positions and sizes cannot reach the overlap needed that way is skipped; so is a pair of entries."""
+    order = np.lexsort((pos, token))
+    token, owner, pos = token[order], owner[order], pos[order].astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+    out: dict[tuple[int, int, int, int], int] = {}
     if len(cut) < 2:
-        return set()
+        return out
     c = comp[owner]
     low, high = np.minimum.reduceat(c, cut[:-1]), np.maximum.reduceat(c, cut[:-1])
-    out = set()
     for k in np.flatnonzero(low != high).tolist():
         o, p = owner[cut[k] : cut[k + 1]], pos[cut[k] : cut[k + 1]]
         n = size[o].astype(np.int64)
-        left = n - p  # what the set holds from the shared shingle on
+        left = n - p
         blocks = [slice(i, i + BLOCK) for i in range(0, len(o), BLOCK)]
         for y, two in enumerate(blocks):
-            for one in blocks[: y + 1]:  # sizes of `one` are no larger
-                if OF * n[one][-1] < NEED * n[two][0]:
+            for one in blocks[: y + 1]:  # positions of `one` are no larger
+                most = p[one][-1] + min(left[one].max(), left[two].max())
+                if (OF + NEED) * most < NEED * (n[one].min() + n[two].min()):
                     continue
-                if OF * min(left[one].max(), left[two].max()) < NEED * n[two][0]:
-                    continue
-                both = n[one][:, None] + n[two][None, :]
-                enough = (OF + NEED) * np.minimum(left[one][:, None], left[two][None, :]) >= NEED * both
+                before, after = np.minimum(p[one][:, None], p[two][None, :]), np.minimum(left[one][:, None], left[two][None, :])
+                small, large = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
+                enough = ((OF + NEED) * (before + after) >= NEED * (small + large)) & (OF * small >= NEED * large)
                 apart = comp[o[one]][:, None] != comp[o[two]][None, :]
+                if one == two:
+                    apart &= np.tri(len(o[one]), k=-1, dtype=bool)
                 for i, j in zip(*np.nonzero(enough & apart)):
-                    a, b = int(ids[o[one][i]]), int(ids[o[two][j]])
+                    x, z = o[one][i], o[two][j]
+                    a, b = int(ids[x]), int(ids[z])
                     if a != b:
-                        out.add((max(a, b), min(a, b)))
+                        key = (a, b, int(size[x]), int(size[z])) if a > b else (b, a, int(size[z]), int(size[x]))
+                        out[key] = out.get(key, 0) + 1
     return out
 
 
@@ -291,7 +298,7 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
         lens = np.array([len(r[2]) // 8 for r in held])
         token = np.frombuffer(b"".join(r[2] for r in held), np.uint64)
         owner = np.repeat(np.arange(len(held), dtype=np.int32), lens)
-        pos = np.minimum(np.arange(len(token)) - np.repeat(np.cumsum(lens) - lens, lens), 65_535)
+        pos = np.arange(len(token)) - np.repeat(np.cumsum(lens) - lens, lens)
         table = np.array([(r[0], r[3], r[1]) for r in held], np.int64)
         which = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(which, kind="stable")
@@ -301,7 +308,7 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
             at = order[cut[k] : cut[k + 1]]
             if len(at):
                 used, mine = np.unique(owner[at], return_inverse=True)
-                rows.append((k, token[at].tobytes(), mine.astype(np.uint16).tobytes(), pos[at].astype(np.uint16).tobytes(), table[used].tobytes()))
+                rows.append((k, token[at].tobytes(), mine.astype(np.uint16).tobytes(), pos[at].astype(np.uint32).tobytes(), table[used].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "token", "owner", "pos", "rows"])
 
     def meet(batches):
@@ -321,16 +328,21 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
             table, base = np.concatenate(tables), np.cumsum([0, *map(len, tables)])
             token = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
             owner = np.concatenate([np.frombuffer(r[1], np.uint16).astype(np.int32) + np.int32(b) for r, b in zip(rows, base)])
-            pos = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows]).astype(np.int32)
+            pos = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
             rows.clear()
-            found = sorted(mixed_pairs(token, owner, pos, table[:, 1], table[:, 2], table[:, 0]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+            found = sorted(mixed_pairs(token, owner, pos, table[:, 1], table[:, 2], table[:, 0]).items())
+            columns = zip(*(pair + (c,) for pair, c in found)) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "m", "n", "c"])
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
     index = rows.mapInArrow(prefixes, "doc_id long, n long, hashes binary").where("n > 0")
     index = join_checked(index, labels, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "hashes", F.coalesce("comp", "doc_id").alias("comp"))
     dealt = index.mapInArrow(deal, "bucket int, token binary, owner binary, pos binary, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return stash(dealt.mapInArrow(meet, "a long, b long").distinct(), "jaccard-crossing")
+    # What two sets share lies among the listed shingles of the one whose list ends first, or after the end of it.
+    met = dealt.mapInArrow(meet, "a long, b long, m long, n long, c long").groupBy("a", "b", "m", "n").agg(F.sum("c").alias("c"))
+    rest = F.greatest(*[F.ceil(NEED * F.col(k) / OF) for k in ("m", "n")]) - 1
+    likely = (OF + NEED) * (F.col("c") + rest) >= NEED * (F.col("m") + F.col("n"))
+    return stash(met.where(likely).select("a", "b").distinct(), "jaccard-crossing")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:

@@ -70,16 +70,15 @@ def test_index_alone_loses_no_link(docs, rows):
 
 def test_blocks_of_a_long_list():
     n = 300
-    size = np.array([40 + k % 50 for k in range(n)])
-    comp = np.arange(n)
-    got = jaccard.mixed_pairs(np.zeros(n, np.uint64), np.arange(n), np.array([k % 9 for k in range(n)]), comp, size, np.arange(n))
-    want = set()
+    size, pos, comp = np.array([40 + k % 50 for k in range(n)]), np.array([k % 9 for k in range(n)]), np.arange(n) // 2
+    got = jaccard.mixed_pairs(np.zeros(n, np.uint64), np.arange(n), pos, comp, size, np.arange(n))
+    want = {}
     for i in range(n):
         for j in range(i):
-            left = min(size[i] - i % 9, size[j] - j % 9)
-            if 175 * left >= 75 * (size[i] + size[j]):
-                want.add((i, j))
-    assert {p for p in want} <= got and all(100 * min(size[a], size[b]) >= 75 * max(size[a], size[b]) or (a, b) in want for a, b in got)
+            most = min(pos[i], pos[j]) + min(size[i] - pos[i], size[j] - pos[j])
+            if comp[i] != comp[j] and 175 * most >= 75 * (size[i] + size[j]) and 100 * min(size[i], size[j]) >= 75 * max(size[i], size[j]):
+                want[i, j, size[i], size[j]] = 1
+    assert got == want
 
 
 def test_word_hashes_do_not_depend_on_parts(monkeypatch):
