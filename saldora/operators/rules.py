@@ -89,3 +89,26 @@ def audit_trail(links: DataFrame, sources: DataFrame) -> DataFrame:
 
 def intact(content: Column, stored_hash: Column) -> Column:
     return T.content_hash(content) == stored_hash
+
+
+#: What must be said of a source's standing, by authority.
+CAVEATS = {"LAW": "", "COURT": "", "REGULATOR": "not binding on courts", "STANDARD": "professional standard, no law", "COMMENTARY": "opinion of an author", "INTERNAL": "internal reading", "OTHER": "unverified source"}
+
+
+def citation() -> Column:
+    """citation, title and place of a source, with the caveat of its authority in brackets."""
+    caveat = F.try_element_at(F.create_map(*[F.lit(x) for kv in CAVEATS.items() for x in kv]), F.coalesce("authority", F.lit("OTHER")))
+    text = F.concat_ws(", ", F.nullif("citation", F.lit("")), F.nullif("title", F.lit("")), "place")
+    return F.when(F.coalesce(caveat, F.lit("")) == "", text).otherwise(F.concat(text, F.lit(" ["), caveat, F.lit("]")))
+
+
+def combined_caveat(sources: DataFrame) -> DataFrame:
+    """rule_id, caveat: that of the highest authority among a rule's sources."""
+    best = sources.groupBy("rule_id").agg(F.min_by("authority", authority_rank(F.col("authority"))).alias("authority"))
+    return best.select("rule_id", F.try_element_at(F.create_map(*[F.lit(x) for kv in CAVEATS.items() for x in kv]), F.col("authority")).alias("caveat"))
+
+
+def adequately_sourced(rules_: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+    """rule_id, adequate: a rule needs a law, court or regulator among its latest links."""
+    have = latest_links(links).join(sources, "source_id").groupBy("rule_id").agg(F.max(authority_rank(F.col("authority")) <= 2).alias("adequate"))
+    return rules_.join(have, "rule_id", "left").select("rule_id", F.coalesce("adequate", F.lit(False)).alias("adequate"))

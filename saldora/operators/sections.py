@@ -82,3 +82,10 @@ def scan_lines(boxes: DataFrame, band: int = 18) -> DataFrame:
 
     lines = F.aggregate("b", start, add, lambda a: a["lines"])
     return pages.select("doc_id", "page", F.posexplode(lines).alias("line_no", "words")).select("doc_id", "page", "line_no", F.array_join("words", " ").alias("text"))
+
+
+def page_of_quote(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """quotes (doc_id, quote) with the first page that holds the quote's first 50 characters."""
+    p = pages.select("doc_id", F.col("page").alias("__p"), F.col("text").alias("__t"))
+    hit = F.min(F.when(F.contains("__t", F.left("quote", F.lit(50))), F.col("__p")))
+    return quotes.join(p, "doc_id", "left").groupBy(*quotes.columns).agg(hit.alias("page"))

@@ -501,3 +501,45 @@ def relevant_categories(spark, sf_dir):
     words = checklist.category_triggers(cats, frame(spark, "key string, words array<string>", [("o", ["economy", "promo"])]))
     low = F.lower("category")
     return words.select("category", ((F.size("cat_words") == 0) | F.exists("cat_words", lambda w: F.contains(low, w))).alias("applies"))
+
+
+@query(values("n, shown", [(1, "kurz"), (2, "…und dort die Pauschalwertberichtigung zum Stichtag…")]))
+def quote_windows(spark, sf_dir):
+    rows = [(1, "kurz"), (2, "Zuerst steht hier sehr viel anderer Text und dort die Pauschalwertberichtigung zum Stichtag und danach noch mehr Text")]
+    shown = checklist.quote_window(F.col("s"), F.array(F.lit("pauschalwertberichtigung")), 50)
+    return frame(spark, "n int, s string", rows).select("n", shown.alias("shown"))
+
+
+@query(values("doc_id, item_id, n_sections, n_quotes, refs, status", [("d", "q1", 1, 2, 1, "COMPLIANT"), ("d", "q2", 1, 1, 0, "PARTIAL")]))
+def requirement_match(spark, sf_dir):
+    sec = frame(spark, "doc_id string, section_no int, content string", [("d", 1, "Rückstellungen\nnach § 9 gebildet\nEnde"), ("d", 2, "Sonstiges\nVorräte zu Kosten")])
+    ask = frame(spark, "item_id string, keywords array<string>, references array<string>", [("q1", ["rückstellungen"], ["§ 9"]), ("q2", ["vorräte", "fehlt", "nirgends"], ["§ 1"]), ("q3", ["ganz anders"], [])])
+    out = checklist.match_sections(ask, sec)
+    return out.select("doc_id", "item_id", F.size("sections").alias("n_sections"), F.size("quotes").alias("n_quotes"), "refs", "status")
+
+
+@query(values("quote, page", [("zweite Seite", 2), ("fehlt", None)]))
+def quote_pages(spark, sf_dir):
+    pages = frame(spark, S.PAGES, [("d", 1, "erste Seite"), ("d", 2, "die zweite Seite"), ("d", 3, "zweite Seite")])
+    return sections.page_of_quote(frame(spark, "doc_id string, quote string", [("d", "zweite Seite"), ("d", "fehlt")]), pages).select("quote", "page")
+
+
+@query(values("rule_id, caveat, adequate", [("r1", "", True), ("r2", "opinion of an author", False)]))
+def source_adequacy(spark, sf_dir):
+    links = frame(spark, "rule_id string, source_id string, component string, ord int", [("r1", "a", "x", 1), ("r1", "c", "x", 2), ("r2", "c", "x", 3)])
+    src = frame(spark, "source_id string, authority string", [("a", "LAW"), ("c", "COMMENTARY")])
+    caveat = rules.combined_caveat(links.join(src, "source_id"))
+    return caveat.join(rules.adequately_sourced(links.select("rule_id").distinct(), links, src), "rule_id")
+
+
+@query(values("text", [("§ 5, Statute, p. 3",), ("AB 12, Handbook [opinion of an author]",)]))
+def citations(spark, sf_dir):
+    rows = [("LAW", "§ 5", "Statute", "p. 3"), ("COMMENTARY", "AB 12", "Handbook", None)]
+    return frame(spark, "authority string, citation string, title string, place string", rows).select(rules.citation().alias("text"))
+
+
+@query(values("item_id, evidence, tool, note, final", [("q1", None, "NOT_COMPLIANT", "missing: Sind die Vorräte beschrieben?", "NOT_COMPLIANT"), ("q5", "Die Rückstellungen betreffen Urlaube und sonstige Posten. (p. 3)", "NOT_ASSESSABLE", "found, please confirm", "NOT_ASSESSABLE")]))
+def reviewer_sheet(spark, sf_dir):
+    pars = frame(spark, "doc_id string, par_ord long, text string, page int", [("d", 0, "Allgemeines zur Firma. Die Rückstellungen betreffen Urlaube und sonstige Posten.", 3)])
+    done = checklist.verdicts(_review(spark), pars)
+    return sinks.checklist_sheet(done).where("item_id in ('q1', 'q5')").select("item_id", "evidence", "tool", "note", "final")

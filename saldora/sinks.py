@@ -60,3 +60,27 @@ def latest_progress(log: DataFrame) -> DataFrame:
     """The last record of each client and stage, from an append-only log (client, stage, ts, ord, …)."""
     w = Window.partitionBy("client", "stage").orderBy(F.desc("ts"), F.desc("ord"))
     return log.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def checklist_sheet(findings: DataFrame) -> DataFrame:
+    """The reviewer's sheet: evidence of at most 220 characters with its page, the tool's word, a note, the final word."""
+    seen = F.when(F.col("quote").isNotNull(), F.concat(F.left("quote", F.lit(220)), F.when(F.col("page").isNotNull(), F.concat(F.lit(" (p. "), F.col("page"), F.lit(")"))).otherwise("")))
+    note = F.when(F.col("missing").isNotNull(), F.concat(F.lit("missing: "), F.col("missing"))).otherwise(F.col("reason"))
+    return final_status(findings.select("doc_id", "item_id", "category", "description", seen.alias("evidence"), F.col("status").alias("tool"), note.alias("note"), F.col("reviewer") if "reviewer" in findings.columns else F.lit("").alias("reviewer")))
+
+
+def protocol(findings: DataFrame, top: int = 200) -> str:
+    """Findings of one document as Markdown, by category; at most `top` rows are collected."""
+    rows = findings.orderBy("category", "item_id").limit(top + 1).select("category", "item_id", "description", "status", "reason").collect()
+    counts = findings.groupBy("status").count().orderBy("status").collect()
+    out, last = ["# Review", "", *[f"- {r['status']}: {r['count']}" for r in counts]], None
+    for r in rows[:top]:
+        if r["category"] != last:
+            last = r["category"]
+            out += ["", f"## {last}"]
+        out.append(f"- **{r['item_id']}** {r['description']} — {r['status']}" + (f" ({r['reason']})" if r["reason"] else ""))
+    return "\n".join(out + (["", f"only the first {top} findings are shown"] if len(rows) > top else [])) + "\n"
+
+
+def critical(findings: DataFrame) -> DataFrame:
+    return findings.where(F.col("status").isin(S.NOT_COMPLIANT, S.NOT_ASSESSABLE))
