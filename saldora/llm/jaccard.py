@@ -11,9 +11,9 @@ list is capped. It returns each document's component, so that a group of copies
    link, its answers follow from that class's: both are in one component, and no pair within it is looked at again.
 4. Index lists: by the prefix principle two linked sets share a shingle among the rarest n - ceil(0.75 n) + 1 of each.
    Lists of one component are skipped as a whole. In the others the entries, ordered by position, are cut into
-   blocks, and a pair of blocks is skipped if its positions and sizes (what the sets can share before the shared
-   shingle and from it on) cannot reach the overlap needed. The pairs left, all between different components, share
-   so many listed shingles that they may link; these are compared in full.
+   blocks, and a pair of blocks is skipped if its positions and sizes (what the sets can share from the shared
+   shingle on) cannot reach the overlap needed. Of the pairs left, all between different components,
+   those are compared in full whose counts of shingles by ranges of their hash leave room for the overlap.
 
 Sets travel once per comparison list, to tasks dealt by list and salt; a list of over LIST sets is split.
 
@@ -38,6 +38,7 @@ NEED, OF = 75, 100
 HASHES, AGREE = 8, 3
 SKETCH = 20
 LIST = 256
+CELLS = 512
 ENTRIES, FLUSH = 1_000_000, 400_000
 BLOCK = 64
 SLICE = 256
@@ -137,10 +138,11 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, a, b (identity of the set), minima; and rows with counts (a part of the sketch) only."""
+    """doc_id, n, a, b (identity of the set), minima, cells (shingles by CELLS ranges of their hash, at most 255
+    each); and rows with counts (a part of the sketch) only."""
 
     def run(batches):
-        names = ["doc_id", "n", "a", "b", "minima", "counts"]
+        names = ["doc_id", "n", "a", "b", "minima", "cells", "counts"]
         counts = np.zeros(1 << SKETCH, np.uint32)
         for part, sets in sliced(batches, 1):
             n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -155,11 +157,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for k in range(HASHES):
                     rows[2 + k, some] = np.minimum.reduceat(flat * FACTOR[k], at)
             minima = pa.ListArray.from_arrays(pa.array(np.arange(0, HASHES * len(sets) + 1, HASHES), pa.int32()), signed(rows[2:].T.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), signed(rows[0]), signed(rows[1]), minima, pa.nulls(len(sets), pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary())], names)
+            at = np.repeat(np.arange(len(sets)), n) * CELLS + (flat % np.uint64(CELLS)).astype(np.int64)
+            cells = np.minimum(np.bincount(at, minlength=len(sets) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+            cells = pa.array([x.tobytes() for x in cells], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), signed(rows[0]), signed(rows[1]), minima, cells, pa.nulls(len(sets), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    return stash(rows.mapInArrow(run, "doc_id long, n long, a long, b long, minima array<long>, counts binary"), "jaccard-sets")
+    return stash(rows.mapInArrow(run, "doc_id long, n long, a long, b long, minima array<long>, cells binary, counts binary"), "jaccard-sets")
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
@@ -170,10 +175,11 @@ def frequencies(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             for x in batch.column(0):
                 total += np.frombuffer(x.as_buffer(), np.uint32)
+        total = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
-    parts = rows.where("counts is not null").select("counts").repartition(8).mapInArrow(add, "counts binary").collect()
-    return sum((np.frombuffer(r["counts"], np.uint64) for r in parts), np.zeros(1 << SKETCH, np.uint64))
+    parts = rows.where("counts is not null").select("counts").repartition(8).mapInArrow(add, "counts binary")
+    return np.frombuffer(parts.repartition(1).mapInArrow(add, "counts binary").first()["counts"], np.uint32)
 
 
 def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -229,15 +235,15 @@ def needed(n):
 
 
 def mixed_pairs(token, owner, pos, comp, size, ids):
-    """{(a, b, size of a, size of b): shared shingles} of sets of different components that meet in these lists.
+    """Pairs (a, b), a > b, of sets of different components that meet in these lists and are not ruled out there.
 
-    token, owner, pos: the entries (pos: place in the set's order); comp, size, ids: by owner. At a shared shingle
-    two sets have at most min(pos) shared ones before it and min(size - pos) from it on. A pair of blocks of a list
-    whose positions and sizes cannot reach the overlap needed that way is skipped; so is a pair of entries."""
+    token, owner, pos: the entries (pos: place in the set's order); comp, size, ids: by owner. From the first
+    shingle they share on, two sets share at most min(size - pos), which must reach the overlap needed. Pairs of blocks of a list whose positions and sizes cannot
+    reach it are skipped; so are pairs of entries."""
     order = np.lexsort((pos, token))
     token, owner, pos = token[order], owner[order], pos[order].astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-    out: dict[tuple[int, int, int, int], int] = {}
+    out: set[tuple[int, int]] = set()
     if len(cut) < 2:
         return out
     c = comp[owner]
@@ -249,21 +255,16 @@ def mixed_pairs(token, owner, pos, comp, size, ids):
         blocks = [slice(i, i + BLOCK) for i in range(0, len(o), BLOCK)]
         for y, two in enumerate(blocks):
             for one in blocks[: y + 1]:  # positions of `one` are no larger
-                most = p[one][-1] + min(left[one].max(), left[two].max())
-                if (OF + NEED) * most < NEED * (n[one].min() + n[two].min()):
+                if (OF + NEED) * min(left[one].max(), left[two].max()) < NEED * (n[one].min() + n[two].min()):
                     continue
-                before, after = np.minimum(p[one][:, None], p[two][None, :]), np.minimum(left[one][:, None], left[two][None, :])
+                after = np.minimum(left[one][:, None], left[two][None, :])
                 small, large = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
-                enough = ((OF + NEED) * (before + after) >= NEED * (small + large)) & (OF * small >= NEED * large)
-                apart = comp[o[one]][:, None] != comp[o[two]][None, :]
-                if one == two:
-                    apart &= np.tri(len(o[one]), k=-1, dtype=bool)
-                for i, j in zip(*np.nonzero(enough & apart)):
-                    x, z = o[one][i], o[two][j]
-                    a, b = int(ids[x]), int(ids[z])
+                enough = ((OF + NEED) * after >= NEED * (small + large)) & (OF * small >= NEED * large)
+                enough &= comp[o[one]][:, None] != comp[o[two]][None, :]
+                for i, j in zip(*np.nonzero(enough)):
+                    a, b = int(ids[o[one][i]]), int(ids[o[two][j]])
                     if a != b:
-                        key = (a, b, int(size[x]), int(size[z])) if a > b else (b, a, int(size[z]), int(size[x]))
-                        out[key] = out.get(key, 0) + 1
+                        out.add((max(a, b), min(a, b)))
     return out
 
 
@@ -330,19 +331,33 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
             owner = np.concatenate([np.frombuffer(r[1], np.uint16).astype(np.int32) + np.int32(b) for r, b in zip(rows, base)])
             pos = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
             rows.clear()
-            found = sorted(mixed_pairs(token, owner, pos, table[:, 1], table[:, 2], table[:, 0]).items())
-            columns = zip(*(pair + (c,) for pair, c in found)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "m", "n", "c"])
+            found = sorted(mixed_pairs(token, owner, pos, table[:, 1], table[:, 2], table[:, 0]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
     index = rows.mapInArrow(prefixes, "doc_id long, n long, hashes binary").where("n > 0")
     index = join_checked(index, labels, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "hashes", F.coalesce("comp", "doc_id").alias("comp"))
     dealt = index.mapInArrow(deal, "bucket int, token binary, owner binary, pos binary, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    # What two sets share lies among the listed shingles of the one whose list ends first, or after the end of it.
-    met = dealt.mapInArrow(meet, "a long, b long, m long, n long, c long").groupBy("a", "b", "m", "n").agg(F.sum("c").alias("c"))
-    rest = F.greatest(*[F.ceil(NEED * F.col(k) / OF) for k in ("m", "n")]) - 1
-    likely = (OF + NEED) * (F.col("c") + rest) >= NEED * (F.col("m") + F.col("n"))
-    return stash(met.where(likely).select("a", "b").distinct(), "jaccard-crossing")
+    return stash(dealt.mapInArrow(meet, "a long, b long").distinct(), "jaccard-crossing")
+
+
+def may_link(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose cells (rows: signatures) leave room for the overlap needed: two sets share in a range of
+    hashes at most what the one with fewer there has. Drops most pairs that share a passage only, before sets travel."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, m, n, x, y = batch.columns
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CELLS) for c in (x, y))
+            m, n = m.to_numpy(), n.to_numpy()
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            fine = ((OF + NEED) * most >= NEED * (m + n)) | ((x == 255) & (y == 255)).any(1)
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(fine))
+
+    sets = rows.where("counts is null and doc_id is not null and n > 0")
+    side = lambda k, n, c: sets.select(F.col("doc_id").alias(k), F.col("n").alias(n), F.col("cells").alias(c))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -367,7 +382,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     alone = members.groupBy("doc_id").agg(F.count_distinct("id").alias("k")).where("k > 1").limit(1).count() == 0
     indexed = join_checked(docs, copies, docs["doc_id"] == copies["__id"], "left_anti") if alone and fits(copies) else docs
     entries = sets.agg(F.sum(F.expr(f"n - ceil({NEED} * n / {OF}) + 1"))).first()[0] or 0
-    links = compare(docs, crossing(indexed, labels, counts, int(entries)))
+    links = compare(docs, may_link(crossing(indexed, labels, counts, int(entries)), rows))
     over = join_checked(join_checked(links, labels.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a", "left"), labels.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b", "left")
     joined = connected(over.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
     # A single document that the index linked is a root of its own in `joined`.
