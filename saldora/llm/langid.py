@@ -31,6 +31,7 @@ LANGUAGES = 1000
 ROUNDS = 3
 SMOOTH = 100.0
 LONG = 48
+PART = 8192
 SCALE = 16.0
 CACHE = 300_000
 SLICE = 256
@@ -90,7 +91,7 @@ class Lattices:
             vocab.edges(w, flat)
             upto.append(len(flat))
         count = np.diff(np.array([0, *upto])) // 3
-        self.word = np.repeat(np.arange(self.n), count)
+        self.word = np.repeat(np.arange(self.n, dtype=np.int32), count)
         self.start, self.end, self.piece = np.array(flat, np.int32).reshape(-1, 3).T
         self.width = int(self.lens.max(initial=0)) + 1
 
@@ -160,18 +161,20 @@ def word_scores(vocab: Vocabulary, words: list[str], probs: np.ndarray) -> np.nd
 def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]], rounds: int = ROUNDS, smooth: float = SMOOTH) -> tuple[list[str], np.ndarray]:
     """Languages by name, and pieces x languages probabilities, from word counts by language."""
     names = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w) <= LONG})
+    words = sorted({w for c in counts.values() for w in c if len(w) <= LONG}, key=lambda w: (len(w), w))
     if not words:
         return [], np.empty((vocab.size, 0))
-    weight = np.array([[counts[n].get(w, 0) for n in names] for w in words], float)
-    lat = Lattices(vocab, words)
+    parts = [(words[k : k + PART]) for k in range(0, len(words), PART)]  # words of one length together: narrow tables
+    parts = [(Lattices(vocab, p), np.array([[counts[n].get(w, 0) for n in names] for w in p], np.float32)) for p in parts]
     probs = np.full((vocab.size, len(names)), 1 / vocab.size)
     for _ in range(rounds):
-        p = scaled(vocab, probs)
-        a, b = lat.forward(p), lat.backward(p)
-        total = a[np.arange(lat.n), lat.lens]
-        expected = a[lat.word, lat.start] * p[lat.piece] * b[lat.word, lat.end] * (weight / total)[lat.word]
-        got = np.stack([np.bincount(lat.piece, expected[:, k], vocab.size) for k in range(len(names))], axis=1)
+        p, got = scaled(vocab, probs), np.zeros((vocab.size, len(names)))
+        for lat, weight in parts:
+            a, b = lat.forward(p), lat.backward(p)
+            share = weight / a[np.arange(lat.n), lat.lens]
+            expected = a[lat.word, lat.start] * p[lat.piece] * b[lat.word, lat.end] * share[lat.word]
+            for k in range(len(names)):
+                got[:, k] += np.bincount(lat.piece, expected[:, k], vocab.size)
         mean = got / got.sum(0)
         mean = (mean.mean(1) + 1e-6) / (1 + 1e-6 * vocab.size)
         probs = (got + smooth * mean[:, None]) / (got.sum(0) + smooth)
