@@ -87,6 +87,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min_by(F.struct(*cols), F.struct(-F.coalesce(F.length("text"), F.lit(0)), F.coalesce(F.col("text"), F.lit(""))))
     one = apart.groupBy(*key).agg(first.alias("__r"))
     # A copy whose group keeps another doc_id goes as well.
-    keeper = exact_dedup(docs).where("kept").select("doc_id", "digest").where("digest is not null")
+    keeper = exact_dedup(docs, digest_all=True).where("kept").select("doc_id", "digest")
     one = one.join(keeper.hint("merge"), F.col("__d").eqNullSafe(keeper["doc_id"]) & (F.col("__k") == keeper["digest"]), "left_semi")
     return rest.unionByName(one.select("__r.*"))

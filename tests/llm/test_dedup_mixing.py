@@ -42,6 +42,13 @@ def test_keep_one_keeps_columns_and_one_of_each(docs, rows, empty):
     assert dedup.keep_one(empty).count() == 0 and dedup.exact_dedup(empty).count() == 0
 
 
+def test_keep_one_keeps_unique_texts_of_mixed_ids(spark):
+    rows = [(3, "a copied text"), (5, "a copied text"), (5, "a text of its own"), (None, "a copied text"), (None, "one more"), (None, "and a last one, longer"), (6, "six")]
+    for data in (rows, rows[:3], [r for r in rows if r[0] != 5]):
+        got = dedup.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert Counter(map(tuple, got)) == Counter(r for r in data if r[1] != "a copied text" or r[0] == 3)
+
+
 def targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
