@@ -114,6 +114,29 @@ def test_pseudo_likelihood(docs, rows, empty, spark):
     assert pseudo_likelihood.pseudo_likelihood(empty).count() == 0
 
 
+def test_every_word_keeps_its_count_and_every_document_trains(spark, monkeypatch):
+    most = " ".join(f"own{k}" for k in range(pseudo_likelihood.OWN)) + " "
+    texts = [most * 2 + f"{'abcdefgh'[k % 8]} " * 9 + ("seldom1x " if k < 3 else "rarely1x " if k < 10 else f"once{k}x ") for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pseudo_likelihood, "COMMON", pseudo_likelihood.OWN + 4)
+    classes, net = pseudo_likelihood.learn(docs)
+    table = {r.word: r.p for r in spark.read.parquet(classes.table).collect()}
+    n = Counter(w for t in texts for w in t.split())
+    assert set(table) == set(n) - set(classes.own) - set(classes.inside) and {"seldom1x", "rarely1x", "once12x"} <= set(table)
+    for w, p in table.items():
+        total = 1 + sum(k for v, k in n.items() if v not in classes.own and pseudo_likelihood.hashed_class(v) == pseudo_likelihood.hashed_class(w))
+        assert abs(p - np.log(n[w] / total)) < 1e-9
+    _, want = pseudo_likelihood.Scorer(classes, net, table).score(texts)
+    got = {r.doc_id: r.score for r in pseudo_likelihood.pseudo_likelihood(docs, (classes, net)).collect()}
+    assert all(abs(got[k] - s) < 1e-3 for k, s in enumerate(want))
+    rows, seen = pseudo_likelihood.read(docs, classes), []
+    monkeypatch.setattr(pseudo_likelihood.Network, "from_values", classmethod(lambda cls, x: seen.append(x)))
+    few = docs.where("doc_id < 20")
+    for part in (rows, pseudo_likelihood.read(few, classes)):  # the documents that do not start it change it as well
+        pseudo_likelihood.trained(part, start=0, shard=500)
+    assert np.abs(seen[0] - seen[1]).max() > 1e-3
+
+
 def test_training_helps():
     net, r = pseudo_likelihood.Network(), np.random.default_rng(1)
     ids = np.array([(k * 3) % 7 for k in range(5000)])
