@@ -2,7 +2,9 @@
 
 Three fixed kinds come from patterns: assign, access and hex. The method adds kind entropy: candidate strings (runs of
 characters of a class, at least WINDOW long, with a digit) whose Shannon entropy, in the best window of WINDOW
-characters, reaches the threshold of their class (hex digits, letters and digits, base64). The window slides by one:
+characters, reaches the threshold of their class (hex digits, letters and digits, base64). Besides the whole string,
+its runs of PARTS of at least WINDOW characters are held against the thresholds of their own classes, so that a name
+in front of a key does not raise what the key must reach; the span is the whole string. The window slides by one:
 counts of its characters and the sum of c * log2(c) are carried on and changed by the character that leaves and the
 one that enters. Candidates on the allow-list, or overlapping a span of a fixed kind, are not added.
 
@@ -33,14 +35,18 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 #: Least entropy in bits a character of the best window, by class: the first class that holds all characters counts.
 CLASSES = ((r"^[0-9A-Fa-f]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.6), (r"^.*$", 3.9))
+#: A part of a path that is made of words, with a number behind; each can be read in one way only.
+STEP = r"(?:(?:[A-Z]{2,}|[A-Z]?[a-z]{2,})(?:[-_](?:[A-Z]{2,}|[A-Z]?[a-z]{2,})|[A-Z][a-z]{2,})*[-_]?[0-9]{0,4}|[A-Za-z][0-9]?)"
 #: Strings that look random but are known to be harmless.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",  # UUID
     r"^[0-9=_+/-]+$",  # numbers, dates, rulers
     r"(?i)example|placeholder|changeme|your[_-]",  # documentation
-    r"^(?:/?[A-Za-z]+[0-9]?/)+[A-Za-z0-9_-]*$",  # paths
+    rf"^/?(?:{STEP}/)+{STEP}?$",  # paths
     r"^[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]?[0-9]{1,4}$",  # slugs and names with a number
 )
+#: Runs within a candidate that are judged by themselves: without = _ -, letters and digits, hex digits.
+PARTS = tuple(rf"[{c}]{{{WINDOW},}}" for c in ("A-Za-z0-9+/", "A-Za-z0-9", "0-9A-Fa-f"))
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -87,11 +93,20 @@ def best_entropy(found: Column, window: int = WINDOW) -> Column:
     return F.log2(F.lit(float(window))) - low / window
 
 
-def high_entropy(found: Column) -> Column:
+def harmless(found: Column) -> Column:
+    return ~found.rlike("[0-9]") | ~found.rlike("[A-Za-z]") | reduce(lambda a, b: a | b, [found.rlike(p) for p in ALLOWED])
+
+
+def reaches(found: Column) -> Column:
+    """Whether the best window reaches the threshold of found's class."""
     least = reduce(lambda rest, c: F.when(found.rlike(c[0]), F.lit(c[1])).otherwise(rest), reversed(CLASSES), F.lit(None).cast("double"))
-    allowed = reduce(lambda a, b: a | b, [found.rlike(p) for p in ALLOWED])
-    plausible = found.rlike("[0-9]") & found.rlike("[A-Za-z]") & ~allowed
-    return plausible & F.when(plausible, best_entropy(found) >= least).otherwise(False)
+    return best_entropy(found) >= least
+
+
+def high_entropy(found: Column) -> Column:
+    parts = F.array_distinct(F.concat(*[F.regexp_extract_all(found, F.lit(p), F.lit(0)) for p in PARTS]))
+    some = lambda: F.exists(parts, lambda x: (x != found) & F.when(harmless(x), False).otherwise(reaches(x)))
+    return F.when(harmless(found), False).when(reaches(found), True).otherwise(some())
 
 
 def written(spans_: Column) -> Column:

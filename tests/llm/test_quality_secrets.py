@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -75,3 +77,16 @@ def test_spans_by_brute_force(docs, rows, spark, empty):
     assert sorted(tuple(r)[1:] for r in got) == sorted(expected(t) for t in [r[1] for r in rows] + more)
     assert any("entropy" in r.spans for r in got)
     assert secrets.secret_spans(empty).count() == 0
+
+
+def test_names_and_slashes_hide_no_keys(spark):
+    r = random.Random(5)
+    key = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    hexes = [key("0123456789ABCDEF", n) for n in (20, 32, 40) for _ in range(60)]
+    b64 = string.ascii_letters + string.digits
+    slashed = [key(string.ascii_letters, 3) + "/" + key(b64, 36) for _ in range(100)]
+    texts = {"alone": hexes, "key": [f"key={h}" for h in hexes], "id": [f"id_{h}" for h in hexes], "slash": slashed, "path": ["src/main/resources/configuration/file-name2"] * 10}
+    docs = spark.createDataFrame([(k, t) for k, x in texts.items() for t in x], "kind string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    found = Counter(r.kind for r in secrets.secret_spans(docs).join(docs, "doc_id").where("spans like '%entropy:0:%'").collect())
+    share = {k: found[k] / len(x) for k, x in texts.items()}
+    assert share["key"] >= share["alone"] > 0.9 and share["id"] >= share["alone"] and share["slash"] > 0.9 and share["path"] == 0, share
