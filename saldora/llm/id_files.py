@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldora.llm.common import new_path
-from saldora.llm.pretokens import Numbers, byte_level
+from saldora.llm.pretokens import Numbers, byte_level, grown, runs
 
 MAGIC = b"SPL1"
 CHUNK = 65_536
@@ -143,12 +143,14 @@ class Encoder:
         added = json.loads(self.tok.to_str())["added_tokens"]
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in added) + ")") if added else None
         self.names = {t["content"]: t["id"] for t in added}
-        self._reset()
-        self.numbers = Numbers(self._learn, self._reset, cache)
-
-    def _reset(self) -> None:
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.numbers = Numbers(self._learn, self._keep, cache)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        begin, self.size = self.begin[kept], self.size[kept]
+        self.flat, self.used = self.flat[runs(begin, self.size)], int(self.size.sum())
+        self.begin = np.cumsum(self.size) - self.size
 
     def _learn(self, words: list[str], n: int) -> None:
         ids = [[self.names[w]] if w in self.names else None for w in words]
@@ -157,10 +159,8 @@ class Encoder:
         ids = [next(found).ids if i is None else i for i in ids]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lens.sum())
-        while n + len(words) > len(self.size):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
-        while self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.begin, self.size = grown(self.begin, n + len(words)), grown(self.size, n + len(words))
+        self.flat = grown(self.flat, self.used + total)
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.size[n : n + len(words)] = lens
         self.begin[n : n + len(words)] = self.used + np.cumsum(lens) - lens
@@ -178,7 +178,7 @@ class Encoder:
         at, counts = self.numbers.of([self.pieces(t) for t in texts])
         size = self.size[at]
         ends = np.cumsum(size)
-        flat = self.flat[np.repeat(self.begin[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        flat = self.flat[runs(self.begin[at], size)]
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return np.diff(bounds), flat
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldora.llm.pretokens import Numbers, letters
+from saldora.llm.pretokens import Numbers, grown, letters
 
 SAMPLE = 200
 LANGUAGES = 1000
@@ -33,7 +33,7 @@ SMOOTH = 100.0
 LONG = 48
 PART = 8192
 SCALE = 16.0
-CACHE = 300_000
+CACHE = 200_000
 SLICE = 256
 MARK = "▁"
 
@@ -185,15 +185,14 @@ class Predictor:
     def __init__(self, vocab: Vocabulary, names: list[str], probs: np.ndarray, cache: int = CACHE):
         self.vocab, self.names, self.find = vocab, names, letters()
         self.probs = scaled(vocab, probs) if names else probs
-        self._reset()
-        self.numbers = Numbers(self._learn, self._reset, cache)
+        self.scores = np.zeros((1 << 12, len(self.names)), np.float32)
+        self.numbers = Numbers(self._learn, self._keep, cache)
 
-    def _reset(self) -> None:
-        self.scores = np.empty((1 << 12, len(self.names)), np.float32)
+    def _keep(self, kept: np.ndarray) -> None:
+        self.scores = self.scores[kept]
 
     def _learn(self, words: list[str], n: int) -> None:
-        while n + len(words) > len(self.scores):
-            self.scores = np.resize(self.scores, (2 * len(self.scores), len(self.names)))
+        self.scores = grown(self.scores, n + len(words))
         for k in range(0, len(words), 20_000):
             some = words[k : k + 20_000]
             self.scores[n + k : n + k + len(some)] = word_scores(self.vocab, some, self.probs)

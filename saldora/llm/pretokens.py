@@ -83,10 +83,16 @@ def byte_symbols() -> list[str]:
 
 
 class Numbers:
-    """Numbers strings from 0 as they come, and has them learned; forgets all once there are over limit of them."""
+    """Numbers strings from 0 as they come, and has them learned.
+
+    Once there are over `limit` of them, or they hold over LETTERS times as many characters, those that were not met
+    again are forgotten: forget(kept) gets the old numbers of those that stay, which are numbered anew in that order."""
+
+    LETTERS = 32
 
     def __init__(self, learn, forget, limit: int):
         self.learn, self.forget, self.limit, self.known = learn, forget, limit, {}
+        self.again, self.letters = np.zeros(1 << 10, bool), 0
 
     def __len__(self) -> int:
         return len(self.known)
@@ -95,6 +101,20 @@ class Numbers:
         start = len(self.known)
         self.learn(words, start)
         self.known.update(zip(words, range(start, start + len(words))))
+        self.letters += sum(map(len, words))
+        while len(self.again) < len(self.known):
+            self.again = np.concatenate((self.again, np.zeros_like(self.again)))
+
+    def make_room(self, n: int) -> None:
+        """Forgets what was not met again, or everything if that leaves too little room for n more."""
+        flags = self.again[: len(self.known)].tolist()
+        kept = [(w, k) for (w, k), met in zip(self.known.items(), flags) if met and len(w) <= self.LETTERS]
+        if len(kept) + n > self.limit or len(kept) > self.limit // 2:
+            kept = []
+        self.known = {w: k for k, (w, _) in enumerate(kept)}
+        self.letters = sum(map(len, self.known))
+        self.again[:] = False
+        self.forget(np.array([k for _, k in kept], np.int64))
 
     def of(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(the numbers of all strings, the length of each list); new strings are learned in the order of their text."""
@@ -102,12 +122,28 @@ class Numbers:
         words = list(chain.from_iterable(lists))
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
         miss = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if len(miss):
             new = {words[i] for i in miss.tolist()}
-            if len(self.known) + len(new) > self.limit:
-                self.known = {}
-                self.forget()
-                new, miss = set(words), np.arange(len(words))
-            self.add(sorted(new.difference(self.known)))
+            if len(self.known) + len(new) > self.limit or self.letters > self.LETTERS * self.limit:
+                self.make_room(len(new))
+                new = set(words).difference(self.known)
+                miss = np.arange(len(words))
+            self.add(sorted(new))
             at[miss] = np.fromiter((self.known[words[i]] for i in miss.tolist()), np.int32, len(miss))
         return at, lens
+
+
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """array with at least so many rows; what is in it stays."""
+    if len(array) >= size:
+        return array
+    out = np.zeros((max(size, 2 * len(array)), *array.shape[1:]), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
+def runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each run of `size` places, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)

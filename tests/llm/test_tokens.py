@@ -87,19 +87,86 @@ def test_language_of_held_out_documents(spark, sf_dir, docs, rows, empty):
     assert langid.identify(empty, path).count() == 0 and langid.known_language(docs, path).columns == docs.columns
 
 
-def test_nbest_by_brute_force(docs, rows, empty):
-    path = tokenizer("piece_bpe_32k.model")
-    e = nbest.Encoder(path, n=4)
+TEXTS = ["the cat sat", "a b", "über\nx y", "▁x", "漢 z", "hello, w", "aaaa", "x  y", "12ab!!", "ǿᚠ"]
+
+
+def test_nbest_by_brute_force():
+    e = nbest.Encoder(tokenizer("piece_bpe_32k.model"), n=4)
+    score = {t: s for t, (s, _) in e.tool.piece.items()}
+    assert abs(sum(np.exp(s) for s in score.values()) - 1) < 1e-9
+    cost = lambda ids: sum(e.tool.score.get(k, 0.0) for k in ids)
+    lens, flat, scores, edits = e.encode(TEXTS)
+    ends = np.cumsum(lens)
+    ok = e.decoded_ok(TEXTS, lens, flat)
+    for k, text in enumerate(TEXTS):
+        marked = "▁" + text.replace(" ", "▁")
+        all_ = sorted((sum(score.get(p, e.tool.unknown) for p in s) for s in segmentations(marked, score)), reverse=True)[:4]
+        assert np.allclose(scores[k], all_) and ok[k] == ("▁" not in text)
+        best = flat[ends[k] - lens[k] : ends[k]].tolist()
+        lists = [best, *(nbest.apply_edits(best, d) for d in edits[k])]
+        assert len(lists) == len(scores[k]) == len({tuple(x) for x in lists})
+        for ids, s in zip(lists, scores[k]):
+            assert e.tool.decode(ids) == text.replace("▁", " ")
+            if all(c in score for c in marked):
+                assert abs(cost(ids) - s) < 1e-9
+
+
+def test_nbest_equals_the_library_with_these_scores(spark, sf_dir, tmp_path):
+    """The same pieces and scores as a unigram model of the library: its best segmentation and its n best."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    score = {t: model.get_score(k) for k, t in e.tool.text.items()}
-    for text in ["the cat sat", "a b", "über\nx y", "▁x", "漢 z", "hello, w"]:
-        found = list(e.encode([text]))[0]
-        all_ = sorted((sum(score.get(p, e.tool.unknown) for p in s) for s in segmentations("▁" + text.replace(" ", "▁"), score)), reverse=True)[:4]
-        assert np.allclose(found[2], all_) and found[3] == ("▁" not in text)
-        ids = [k for s in e.tool.segments(text) for k in e.tool.search(s)[0][1]]
-        assert len(ids) == found[0] and e.tool.decode(ids) == text.replace("▁", " ")
-    got = nbest.segmented(docs, path).collect()
-    assert len(got) == len(rows) and all(r.decoded_ok and r.scores == sorted(r.scores, reverse=True) for r in got)
-    assert nbest.segmented(empty, path).count() == 0
+    path = tokenizer("piece_bpe_32k.model")
+    e, model = nbest.Encoder(path), proto.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for k, s in e.tool.score.items():
+        model.pieces[k].score = s
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    for text in ["the cat sat", "Enözuver die enie", "thinges 12ab!!", "x  y"]:
+        lens, flat, _, edits = e.encode([text])
+        assert [flat.tolist(), *(nbest.apply_edits(flat.tolist(), d) for d in edits[0])] == library.nbest_encode_as_ids(text, 3)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text]
+    cost, same = lambda ids: sum(e.tool.score.get(k, e.tool.unknown) for k in ids), 0
+    lens, flat, _, _ = e.encode(texts)
+    for text, n, end in zip(texts, lens.tolist(), np.cumsum(lens).tolist()):
+        mine, theirs = flat[end - n : end].tolist(), library.encode(text)
+        same += mine == theirs
+        assert mine == theirs or cost(mine) >= cost(theirs) - 1e-2  # the library adds in single precision
+    assert same >= 0.9 * len(texts)
+    with open(tmp_path / "unigram.model", "wb") as f:
+        f.write(model.SerializeToString())
+    own = nbest.NBest(str(tmp_path / "unigram.model"))  # a unigram model's scores are taken as they are
+    assert all(abs(own.score[k] - s) < 1e-4 for k, s in e.tool.score.items())
+
+
+def test_segmented_expanded_decoded(docs, rows, empty):
+    path = tokenizer("piece_bpe_32k.model")
+    found = nbest.segmented(docs, path).cache()
+    got = found.collect()
+    assert len(got) == len(rows) and all(r.decoded_ok and r.scores == sorted(r.scores, reverse=True) and len(r.others) == len(r.scores) - 1 for r in got)
+    assert all(r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
+    each = nbest.expanded(found).collect()
+    assert sorted((r.doc_id or -1, r.rank, round(r.score, 6)) for r in each) == sorted((r.doc_id or -1, k, round(s, 6)) for r in got for k, s in enumerate(r.scores, 1))
+    texts = sorted((r[0] or -1, r[1] or "") for r in rows)
+    assert sorted((r.doc_id or -1, r.text) for r in nbest.decoded(found, path).collect()) == texts
+    again = nbest.decoded(nbest.expanded(found).where("rank = 2"), path).collect()
+    assert {(r.doc_id or -1, r.text) for r in again} <= set(texts) and again
+    assert nbest.segmented(empty, path).count() == 0 and nbest.expanded(nbest.segmented(empty, path)).count() == 0
+
+
+def test_small_cache_gives_the_same_pieces():
+    path = tokenizer("piece_bpe_32k.model")
+    small, large = nbest.Encoder(path, cache=6), nbest.Encoder(path)
+    for k in range(30):
+        text = [f"the cat {'abcdefgh'[k % 8]} sat {'xyz' * (k % 5)} on word{k}"]
+        for a, b in zip(small.encode(text), large.encode(text)):
+            assert np.array_equal(a, b) if isinstance(a, np.ndarray) else a == b
+
+
+def test_very_long_texts_and_words():
+    e = nbest.Encoder(tokenizer("piece_bpe_32k.model"))
+    texts = ["x" * 200_000, "lorem ipsum dolor " * 60_000]
+    lens, flat, scores, _ = e.encode(texts)
+    assert e.decoded_ok(texts, lens, flat).all() and all(len(s) == 3 for s in scores)
