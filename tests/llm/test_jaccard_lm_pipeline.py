@@ -3,8 +3,11 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from saldora.llm import jaccard, mixing, nbest, pseudo_likelihood, queries
+from saldora.llm import jaccard, mixing, nbest, queries
+from saldora.llm import pseudo_likelihood as lm
 from saldora.llm.components import connected
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -95,55 +98,81 @@ def test_connected_path_and_star(spark):
     assert {got[k] for k in range(41)} == {0} and {got[200 + k] for k in range(40)} == {100} and 500 not in got
 
 
-def test_pseudo_likelihood(docs, rows, empty, spark):
-    model = pseudo_likelihood.learn(docs)
-    got = pseudo_likelihood.pseudo_likelihood(docs, model).collect()
-    assert sorted(r.n_tokens for r in got) == sorted(len(re.findall(r"\w+|[^\w\s]", (r[1] or "").lower())) for r in rows)
+def one_at_a_time(net, words, units):
+    """Sum of the units' log-probabilities, token by token."""
+    pad, total = [lm.UNITS] * 2, 0.0
+    softmax = lambda z, k: z[k] - np.log(np.exp(z - z.max()).sum()) - z.max()
+    row = [*pad, *units, *pad]
+    for k, y in enumerate(units):
+        h = np.tanh(sum(net.e[i][row[k + 2 + d]] for i, d in enumerate((-2, -1, 1, 2))))
+        g, c = divmod(int(y), lm.ENDINGS)
+        total += softmax(h @ net.w + net.b, g) + softmax(h @ net.u[g] + net.c[g], c)
+    return total
+
+
+def by_hand(texts, n, words, net, own=True):
+    """Scores by their definition; n: count of every word of the corpus."""
+    out, top = [], sorted(n, key=lambda w: (-n[w], w))[: lm.VOCABULARY]
+    mass = Counter()
+    for w, k in n.items():
+        if w not in words.own:
+            mass[lm.ending(w)] += k
+    assert set(top) == set(words.own)
+    for t in texts:
+        list_ = lm.tokens((t or "").lower())
+        here = Counter(list_)
+        units = [words.own.get(w, lm.ending(w)) for w in list_]
+        rest = sum(np.log(max(n[w] - here[w] * own, 0) + lm.UNSEEN) - np.log(mass[lm.ending(w)] + 1) for w in list_ if w not in words.own)
+        out.append(one_at_a_time(net, list_, units) + rest)
+    return out
+
+
+def test_pseudo_likelihood_by_hand(docs, rows, empty, spark):
+    model = lm.learn(docs)
+    n = Counter(w for r in rows for w in lm.tokens((r[1] or "").lower()))
+    got = lm.pseudo_likelihood(docs).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(len(lm.tokens((r[1] or "").lower())) for r in rows)
     assert all((r.mean is None) == (r.n_tokens == 0) and r.score <= 0 for r in got)
-    classes, net = model
-    words = "alpha1 beta2 gamma3".split()
-    ids = np.array([classes.of(w)[0] for w in words])
-    pad, want = [pseudo_likelihood.CLASSES] * 2, 0.0
-    for k, w in enumerate(words):  # one token at a time
-        row = [*pad, *ids, *pad]
-        near = [row[k + 2 + d] for d in (-2, -1, 1, 2)]
-        z = np.tanh(sum(net.e[i][c] for i, c in enumerate(near))) @ net.w + net.b
-        want += z[ids[k]] - np.log(np.exp(z - z.max()).sum()) - z.max() + classes.of(w)[1]
-    _, score = pseudo_likelihood.Scorer(*model).score([" ".join(words)])
-    assert abs(score[0] - want) < 1e-3
-    assert pseudo_likelihood.pseudo_likelihood(empty).count() == 0
-
-
-def test_every_word_keeps_its_count_and_every_document_trains(spark, monkeypatch):
-    most = " ".join(f"own{k}" for k in range(pseudo_likelihood.OWN)) + " "
-    texts = [most * 2 + f"{'abcdefgh'[k % 8]} " * 9 + ("seldom1x " if k < 3 else "rarely1x " if k < 10 else f"once{k}x ") for k in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(pseudo_likelihood, "COMMON", pseudo_likelihood.OWN + 4)
-    classes, net = pseudo_likelihood.learn(docs)
-    table = {r.word: r.p for r in spark.read.parquet(classes.table).collect()}
+    want = by_hand([r[1] for r in rows], n, *model)
+    assert np.allclose(sorted(r.score for r in got), sorted(want), atol=1e-2, rtol=1e-4)
+    other = lm.pseudo_likelihood(spark.createDataFrame([(1, "alpha1 nowhere beta2")], "doc_id long, text string"), model).first()
+    assert np.isclose(other.score, by_hand(["alpha1 nowhere beta2"], n, *model, own=False)[0], atol=1e-2)
+    assert lm.pseudo_likelihood(empty).count() == 0
+
+
+def test_words_outside_the_vocabulary_keep_their_counts(spark, monkeypatch):
+    """More words than the vocabulary holds: ties by word, counts of the rest joined from the table, less the own."""
+    r = np.random.default_rng(3)
+    most = [f"v{k:05d}" for k in range(lm.VOCABULARY)]
+    texts = [" ".join(most) + " " + " ".join(f"r{x}" for x in r.integers(0, 60, 40)) + (" seldom1 seldom1" if k < 2 else f" once{k}") for k in range(6)]
+    docs = spark.createDataFrame([(None if k == 5 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "COMMON", lm.VOCABULARY + 20)
     n = Counter(w for t in texts for w in t.split())
-    assert set(table) == set(n) - set(classes.own) - set(classes.inside) and {"seldom1x", "rarely1x", "once12x"} <= set(table)
-    for w, p in table.items():
-        total = 1 + sum(k for v, k in n.items() if v not in classes.own and pseudo_likelihood.hashed_class(v) == pseudo_likelihood.hashed_class(w))
-        assert abs(p - np.log(n[w] / total)) < 1e-9
-    _, want = pseudo_likelihood.Scorer(classes, net, table).score(texts)
-    got = {r.doc_id: r.score for r in pseudo_likelihood.pseudo_likelihood(docs, (classes, net)).collect()}
-    assert all(abs(got[k] - s) < 1e-3 for k, s in enumerate(want))
-    rows, seen = pseudo_likelihood.read(docs, classes), []
-    monkeypatch.setattr(pseudo_likelihood.Network, "from_values", classmethod(lambda cls, x: seen.append(x)))
-    few = docs.where("doc_id < 20")
-    for part in (rows, pseudo_likelihood.read(few, classes)):  # the documents that do not start it change it as well
-        pseudo_likelihood.trained(part, start=0, shard=500)
-    assert np.abs(seen[0] - seen[1]).max() > 1e-3
+    model = lm.learn(docs)
+    table = {x.word: x.n for x in spark.read.parquet(model[0].table).collect()}
+    assert table == {w: n[w] for w in sorted(n, key=lambda w: (-n[w], w))[lm.COMMON :]} and len(model[0].counts) == 20
+    got = sorted(x.score for x in lm.pseudo_likelihood(docs).collect())
+    assert np.allclose(got, sorted(by_hand(texts, n, *model)), rtol=1e-4)
+
+
+def test_what_trains_grows_with_the_corpus(spark):
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 50, 60)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = lm.counted(docs)
+    few, many = (lm.trained(lm.read(docs.where(f"doc_id < {k}"), words), share=2, start=0, shard=500) for k in (60, 120))
+    assert np.abs(few.w - many.w).max() > 1e-4
+    copies = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"))
+    assert lm.pseudo_likelihood(copies).count() == 120  # rows of null doc_id and equal text start the network once
 
 
 def test_training_helps():
-    net, r = pseudo_likelihood.Network(), np.random.default_rng(1)
-    ids = np.array([(k * 3) % 7 for k in range(5000)])
-    lens = np.full(50, 100)
-    before = net.log_probs(ids, net.around(ids, lens)).mean()
-    net.train(ids, lens)
-    assert net.log_probs(ids, net.around(ids, lens)).mean() > before + 1 and r is not None
+    net = lm.Network()
+    units = np.array([(k * 3) % 7 * 70 for k in range(20_000)])
+    lens = np.full(200, 100)
+    before = net.log_probs(units, net.around(units, lens)).mean()
+    net.train(units, lens, epochs=4)
+    assert net.log_probs(units, net.around(units, lens)).mean() > before + 2
 
 
 def test_pipeline_stage_by_stage(docs, rows, spark, sf_dir):
