@@ -3,6 +3,7 @@ import math
 import random
 import re
 import string
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -40,6 +41,69 @@ def test_binomial_tail(spark):
         assert abs(r.t - (exact if r.id < n * p else 1.0)) < 1e-9
 
 
+def steps_of(t):
+    n, chars, symbols, dup, repeat = features(t)
+    lines = len([x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+    capitals = sum(unicodedata.category(c) == "Lu" for c in t or "")
+    part = lambda a, b: min(quality.STEPS, math.ceil(a * quality.STEPS / max(b, 1)))
+    return n < 20 or 100 * repeat > 30 * n, (part(symbols, chars), part(dup, lines), part(repeat, n), part(capitals, chars))
+
+
+def chosen_by_hand(rows, quality_of, holdout_of, risk, delta, weight):
+    """stratum -> level and cutoffs, from (doc_id, lang, text)."""
+    known = [(lang, steps, quality_of[i], holdout_of[i]) for i, lang, t in rows for failed, steps in [steps_of(t)] if i in quality_of and not failed]
+    strata, out = {k[0] for k in known}, {}
+    tail = lambda r, n: sum(math.comb(n, k) * risk**k * (1 - risk) ** (n - k) for k in range(r + 1)) if r < n * risk else 1.0
+    for s in strata:
+        learn = [k for k in known if k[0] == s and not k[3]]
+        good = [k[1] for k in learn if k[2]]
+        held = [k[1] for k in known if k[0] == s and k[3] and k[2]]
+        if not good or not held:
+            continue
+        share = [[sum(g[f] >= x for g in good) / len(good) for x in range(quality.STEPS + 1)] for f in range(4)]
+        level = lambda steps: min(share[f][steps[f]] for f in range(4))
+        best = None
+        for v in sorted({level(k[1]) for k in known if k[0] == s}):
+            if v >= 1 or tail(sum(level(h) <= v for h in held), len(held)) > delta / len(strata):
+                break
+            worth = sum((1 if not k[2] else -weight) for k in learn if level(k[1]) <= v)
+            if worth > 0 and (best is None or worth > best[0]):
+                best = worth, v
+        if best:
+            out[s] = (best[1], *(max((x for x in range(quality.STEPS + 1) if share[f][x] > best[1]), default=None) for f in range(4)))
+    return out
+
+
+def test_cutoffs_by_hand_and_rules_on_the_tables(spark, sf_dir):
+    """On a table of the driver: the choice of every stratum by hand, and that it decides something."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judged(quality.measured(docs)).cache()
+    of = {}
+    for r in labels.collect():
+        of[r.doc_id] = min(of.get(r.doc_id, 1), r.quality)
+    holdout = {r.doc_id: r.h for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("h")).collect()}
+    table = [(r.doc_id, r.lang, r.text) for r in docs.collect()]
+    want = chosen_by_hand(table, {k: v > 0 for k, v in of.items()}, holdout, quality.RISK, quality.DELTA, quality.GOOD_WEIGHT)
+    got = {r.stratum: (r.level, *list(r)[2:]) for r in quality.cutoffs(rows, labels).collect()}
+    assert got == want and want
+    kept = quality.assess(docs, labels).collect()
+    assert any(not r.base_failed and not r.kept for r in kept) and not any(r.base_failed and r.kept for r in kept)
+    false = [r for r in kept if not r.base_failed and not r.kept and of.get(r.doc_id, 0) > 0]
+    assert len(false) <= quality.RISK * sum(of.get(r.doc_id, 0) > 0 and not r.base_failed for r in kept)
+
+
+def test_ties_of_levels_and_tiny_labels(spark):
+    rows = [(k, "a", " ".join(f"w{k}x{i}" for i in range(30)) + ("".join(f" #{i}$" for i in range(30)) if k % 2 else "")) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as quality")
+    limits = quality.cutoffs(quality.judged(quality.measured(docs)), labels).collect()
+    assert len(limits) == 1 and limits[0].max_symbols == 0  # all bad documents have one level; the lowest is taken
+    assert {r.kept == (r.doc_id % 2 == 0) for r in quality.assess(docs, labels).collect()} == {True}
+    few = quality.assess(docs, labels.where("doc_id < 100")).collect()
+    assert all(r.kept for r in few)  # 50 good documents certify nothing
+
+
 def test_cutoffs_are_certified_per_stratum(spark):
     rows = [(k, "a", "good words here " * 9 + ("#" if k % 10 == 9 else "")) for k in range(3000)] + [(5000 + k, "b", "good words here " * 9) for k in range(50)]
     text = [(k, lang, " ".join(f"{w}{k * 31 + i}" for i, w in enumerate(t.split())) + (" ####################################" * 4 if k % 10 == 9 else "")) for k, lang, t in rows]
