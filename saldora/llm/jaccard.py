@@ -2,25 +2,33 @@
 
 A document's set is its distinct shingles, each a 64-bit hash (a fixed function of the words). Two documents link when
 100 * |A & B| >= 75 * |A | B|. The join is exact up to equal hashes of different shingles: nothing is sampled and no
-list is capped. It returns each document's component, so that a group of copies needs no pairs within it.
+list is capped. It returns each document's component and its number of links, without pairs inside a component.
 
 1. One scan takes each set's size, identity (two 64-bit sums) and HASHES minima, and a table of 2**SKETCH counts of
    shingles by hash, of fixed size, which orders shingles from rare to frequent.
 2. Equal sets are one class from here on.
 3. Highly similar sets: a class is compared with the smallest class of the buckets (equal minimum) it is in. If they
-   link, its answers follow from that class's: both are in one component, and no pair within it is looked at again.
+   link, both are in one component, and no pair within it is a candidate again.
 4. Index lists: by the prefix principle two linked sets share a shingle among the rarest n - ceil(0.75 n) + 1 of each.
    Lists of one component are skipped as a whole. In the others the entries, ordered by position, are cut into
    blocks, and a pair of blocks is skipped if its positions and sizes (what the sets can share from the shared
    shingle on) cannot reach the overlap needed. Of the pairs left, all between different components,
    those are compared in full whose counts of shingles by ranges of their hash leave room for the overlap.
+5. All links of a component follow from one set's answers: every other set is compared with the component's head R
+   once, which leaves its difference D (shingles of one of the two only; d of them in R, i not in R). Then
+   |A & B| = |R| - d(A) - d(B) + |D(A) & D(B)|, so that A and B link exactly if
+       175 |D(A) & D(B)| >= cost(A) + cost(B) - 25 |R|     with cost = 100 d + 75 i.
+   Sets in order of cost: partners up to 25 |R| - cost(A) are counted at once; for the others the shared part of the
+   differences is counted through lists of their elements. Only counts leave a task. A component of over HALF classes
+   is dealt in pairs of parts.
 
 Sets travel once per comparison list, to tasks dealt by list and salt; a list of over LIST sets is split.
 
 Defined cases. Null or empty texts, or texts without words, have an empty set and link with nothing. A text with fewer
-words than a shingle has one, the whole sequence. Rows of equal doc_id are one node with all their sets. Rows of null
-doc_id are not compared: they get their own n_shingles and a null component_id. Repeated rows come out each. An empty
-table gives an empty result. Columns other than doc_id and text are not looked at.
+words than a shingle has one, the whole sequence. Rows of equal doc_id are one node with all their sets. n_links is the
+number of other rows whose sets link with the row's, copies included. Rows of null doc_id are not compared: they get
+their own n_shingles and a null component_id and n_links. Repeated rows come out each. An empty table gives an empty
+result. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +40,7 @@ from pyspark.sql import functions as F
 
 from saldora.llm.common import drop_ids, fits, join_checked, join_groups, stash
 from saldora.llm.components import connected
+from saldora.llm.pretokens import runs
 
 WORDS = 5
 NEED, OF = 75, 100
@@ -39,8 +48,10 @@ HASHES, AGREE = 8, 3
 SKETCH = 20
 LIST = 256
 CELLS = 512
-ENTRIES, FLUSH = 1_000_000, 400_000
+ENTRIES, FLUSH = 500_000, 400_000
+SPREAD, FOUND = 16, 200_000
 BLOCK = 64
+HALF = 1024
 SLICE = 256
 PART = 1 << 20
 
@@ -235,7 +246,8 @@ def needed(n):
 
 
 def mixed_pairs(token, owner, pos, comp, size, ids):
-    """Pairs (a, b), a > b, of sets of different components that meet in these lists and are not ruled out there.
+    """Lists of pairs (a, b), a > b, of sets of different components that meet in these lists and are not ruled out
+    there; a pair can come twice if there are over FOUND of them.
 
     token, owner, pos: the entries (pos: place in the set's order); comp, size, ids: by owner. From the first
     shingle they share on, two sets share at most min(size - pos), which must reach the overlap needed. Pairs of blocks of a list whose positions and sizes cannot
@@ -245,7 +257,7 @@ def mixed_pairs(token, owner, pos, comp, size, ids):
     cut = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
     out: set[tuple[int, int]] = set()
     if len(cut) < 2:
-        return out
+        return
     c = comp[owner]
     low, high = np.minimum.reduceat(c, cut[:-1]), np.maximum.reduceat(c, cut[:-1])
     for k in np.flatnonzero(low != high).tolist():
@@ -265,14 +277,18 @@ def mixed_pairs(token, owner, pos, comp, size, ids):
                     a, b = int(ids[o[one][i]]), int(ids[o[two][j]])
                     if a != b:
                         out.add((max(a, b), min(a, b)))
-    return out
+                if len(out) >= FOUND:
+                    yield sorted(out)
+                    out.clear()
+    yield sorted(out)
 
 
 def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: int) -> DataFrame:
     """Pairs (a, b) of different components (labels: id, comp) that the prefix index does not rule out."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)
-    buckets = max(spark.sparkContext.defaultParallelism, entries // ENTRIES + 1)
+    parts = max(spark.sparkContext.defaultParallelism, entries // ENTRIES + 1)
+    buckets = SPREAD * parts  # several to a task, so that tasks are even
 
     def prefixes(batches):
         for part, sets in sliced(batches, 1):
@@ -303,13 +319,11 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
         table = np.array([(r[0], r[3], r[1]) for r in held], np.int64)
         which = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(which, kind="stable")
-        cut = np.searchsorted(which[order], np.arange(buckets + 1))
+        used, first = np.unique(which[order], return_index=True)
         rows = []
-        for k in range(buckets):
-            at = order[cut[k] : cut[k + 1]]
-            if len(at):
-                used, mine = np.unique(owner[at], return_inverse=True)
-                rows.append((k, token[at].tobytes(), mine.astype(np.uint16).tobytes(), pos[at].astype(np.uint32).tobytes(), table[used].tobytes()))
+        for k, at in zip(used.tolist(), np.split(order, first[1:])):
+            there, mine = np.unique(owner[at], return_inverse=True)
+            rows.append((k, token[at].tobytes(), mine.astype(np.uint16).tobytes(), pos[at].astype(np.uint32).tobytes(), table[there].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "token", "owner", "pos", "rows"])
 
     def meet(batches):
@@ -331,13 +345,13 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
             owner = np.concatenate([np.frombuffer(r[1], np.uint16).astype(np.int32) + np.int32(b) for r, b in zip(rows, base)])
             pos = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
             rows.clear()
-            found = sorted(mixed_pairs(token, owner, pos, table[:, 1], table[:, 2], table[:, 0]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+            for found in mixed_pairs(token, owner, pos, table[:, 1], table[:, 2], table[:, 0]):
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
     index = rows.mapInArrow(prefixes, "doc_id long, n long, hashes binary").where("n > 0")
     index = join_checked(index, labels, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "hashes", F.coalesce("comp", "doc_id").alias("comp"))
-    dealt = index.mapInArrow(deal, "bucket int, token binary, owner binary, pos binary, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = index.mapInArrow(deal, "bucket int, token binary, owner binary, pos binary, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     return stash(dealt.mapInArrow(meet, "a long, b long").distinct(), "jaccard-crossing")
 
 
@@ -360,9 +374,114 @@ def may_link(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    docs = docs.select("doc_id", "text")
+def differences(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """comp, key, m, cost, base (25 |R|) and diff (sorted, what is in only one of the set and its component's head) of
+    every class. classes: comp, id (a doc_id that has the set), key (the set's identity), m."""
+    first = F.struct("id", "key")
+    heads = stash(classes.groupBy("comp").agg(F.min(first).alias("head"), F.ceil(F.count("*") / LIST).cast("int").alias("salts")), "jaccard-heads")
+    spread = join_checked(classes, heads, "comp")
+    salt = F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
+    own = spread.select("id", "key", "comp", salt.alias("salt"), F.lit(1).alias("role"), "m")
+    head = heads.select(F.col("head.id").alias("id"), F.col("head.key").alias("key"), "comp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("m"))
+    roles = stash(own.unionByName(head), "jaccard-roles")
+    names = ["comp", "salt", "role", "key", "m"]
+    texts = join_checked(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), roles, F.col("doc_id") == F.col("id")).select(*names, "text")
+
+    def sets(batches):
+        for part, found in sliced(batches, 5):
+            # A doc_id may stand in several rows: only the set that is meant goes on.
+            keys = part.column(3).to_numpy()
+            there = np.array([len(x) > 0 and int(identity(x)) == k for x, k in zip(found, keys.tolist())], bool)
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([x.tobytes() for x in found], pa.binary())], [*names, "hashes"]).filter(pa.array(there))
+
+    def compared(batches):
+        group, head, done = None, None, set()
+        for batch in batches:
+            rows = []
+            for comp, salt, role, key, m, data in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5)):
+                mine = np.frombuffer(data.as_buffer(), np.uint64)
+                if (comp, salt) != group:
+                    group, head, done = (comp, salt), None, set()
+                if role == 0:
+                    head = mine.copy() if head is None else head
+                elif key not in done:  # rows of equal doc_id and text
+                    done.add(key)
+                    out, into = np.setdiff1d(head, mine, assume_unique=True), np.setdiff1d(mine, head, assume_unique=True)
+                    cost = OF * len(out) + NEED * len(into)
+                    rows.append((comp, key, m, cost, (OF - NEED) * len(head), np.sort(np.concatenate((out, into))).tobytes()))
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(cols)], ["comp", "key", "m", "cost", "base", "diff"])
+
+    held = texts.mapInArrow(sets, "comp long, salt int, role int, key long, m long, hashes binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.repartition(parts, "comp", "salt").sortWithinPartitions("comp", "salt", "role", "key")
+    return stash(dealt.mapInArrow(compared, "comp long, key long, m long, cost long, base long, diff binary"), "jaccard-differences")
+
+
+def identity(hashes: np.ndarray) -> np.int64:
+    return np.add.reduce(mixed(hashes)).view(np.int64)
+
+
+def links_between(left: list[tuple], right: list[tuple], base: int, same: bool) -> list[int]:
+    """For each of left (m, cost, diff), how many rows of right link with it; same: both are one list, a set is no
+    partner of itself."""
+    cost, m = np.array([r[1] for r in right]), np.array([r[0] for r in right])
+    order = np.argsort(cost, kind="stable")
+    sorted_cost, below = cost[order], np.concatenate(([0], np.cumsum(m[order])))
+    sizes = np.array([len(r[2]) for r in right])
+    flat, owner = np.concatenate([r[2] for r in right]), np.repeat(np.arange(len(right)), sizes)
+    by = np.argsort(flat, kind="stable")
+    flat, owner = flat[by], owner[by]
+    out = []
+    for k, (own, mine, diff) in enumerate(left):
+        sure = int(np.searchsorted(sorted_cost, base - mine, side="right"))
+        total = int(below[sure])
+        rest = order[sure:]
+        if len(rest) and len(diff):
+            a, b = np.searchsorted(flat, diff, side="left"), np.searchsorted(flat, diff, side="right")
+            shared = np.bincount(owner[runs(a, b - a)], minlength=len(right))
+            total += int(m[rest][(OF + NEED) * shared[rest] >= mine + cost[rest] - base].sum())
+        # The set itself: among the sure ones, or found by its whole difference, which always suffices.
+        out.append(total - own if same else total)
+    return out
+
+
+def link_counts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, links: rows of other sets that link with the set, for the classes of differences()."""
+    found = differences(docs, classes)
+    sizes = found.groupBy("comp").agg(F.ceil(F.count("*") / HALF).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    rows = join_checked(found, sizes, "comp").withColumn("p", mine)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).drop("parts")
+    rows = rows.select("comp", F.least("p", "q").alias("one"), F.greatest("p", "q").alias("two"), F.col("p").alias("side"), "key", "m", "cost", "base", "diff")
+
+    def run(batches):
+        group, sides = None, {}
+        for batch in batches:
+            for comp, one, two, side, key, m, cost, base, diff in zip(*(c.to_pylist() for c in batch.columns[:8]), batch.column(8)):
+                if (comp, one, two) != group:
+                    yield from counted(group, sides)
+                    group, sides = (comp, one, two), {}
+                sides.setdefault(side, []).append((key, base, (m, cost, np.frombuffer(diff.as_buffer(), np.uint64).copy())))
+        yield from counted(group, sides)
+
+    def counted(group, sides):
+        if group is None or (group[1] != group[2] and len(sides) < 2):
+            return
+        keys, links, same = [], [], group[1] == group[2]
+        for side, mine in sides.items():
+            other = mine if same else sides[sum(sides) - side]
+            keys += [r[0] for r in mine]
+            links += links_between([r[2] for r in mine], [r[2] for r in other], mine[0][1], same)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(links, pa.int64())], ["key", "links"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "comp", "one", "two").sortWithinPartitions("comp", "one", "two", "side", "key")
+    return dealt.mapInArrow(run, "key long, links long").groupBy("key").agg(F.sum("links").alias("links"))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows of signatures(); classes of equal sets: n, a, b, id, m; and id, comp of every node with a link."""
     rows = signatures(docs)
     counts = frequencies(rows)
     sets = rows.where("counts is null and doc_id is not null and n > 0")
@@ -389,13 +508,37 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     tops = joined.select(F.col("node").alias("top"), "root")
     below = labels.join(tops, labels["comp"] == tops["top"], "left").select("id", F.coalesce("root", "comp").alias("comp"))
     single = tops.join(labels, tops["top"] == labels["id"], "left_anti").select(F.col("top").alias("id"), F.col("root").alias("comp"))
-    final = stash(below.unionByName(single), "jaccard-final")
+    return rows, classes, stash(below.unionByName(single), "jaccard-final")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    rows, _, final = grouped(docs.select("doc_id", "text"))
     out = rows.where("counts is null").select("doc_id", F.col("n").alias("n_shingles"))
     out = join_checked(out, final, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links."""
+    docs = docs.select("doc_id", "text")
+    rows, classes, final = grouped(docs)
+    # Classes of components with more than one: the only ones that have links besides their copies.
+    placed = classes.select(F.col("id").alias("doc"), F.col("a").alias("key"), "m").join(final, F.col("doc") == F.col("id")).select("comp", "id", "key", "m")
+    several = placed.groupBy("comp").agg(F.count("*").alias("k")).where("k > 1").select("comp")
+    counts = stash(link_counts(docs, stash(join_checked(placed, several, "comp", "left_semi"), "jaccard-placed")), "jaccard-counts")
+    key = ["n_shingles", "a", "b"]
+    groups = classes.select(F.col("n").alias("n_shingles"), "a", "b", "m").join(counts, F.col("a") == F.col("key"), "left")
+    groups = stash(groups.select(*key, F.col("m").alias("n"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-groups")
+    every = rows.where("counts is null").select("doc_id", F.col("n").alias("n_shingles"), "a", "b")
+    compared = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    linked = join_groups(every.where(compared), groups, key, rows.count()).select("doc_id", "n_shingles", "n_links")
+    rest = every.where(~compared).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), 0).cast("long").alias("n_links"))
+    out = join_checked(linked.unionByName(rest), final, F.col("doc_id") == F.col("id"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), "n_links")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that are not the smallest doc_id of their component, columns unchanged."""
-    gone = jaccard_groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    gone = components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
     return drop_ids(docs, gone)

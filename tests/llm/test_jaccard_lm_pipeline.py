@@ -48,6 +48,35 @@ def test_components_by_brute_force(docs, rows, empty):
     assert jaccard.jaccard_groups(empty).count() == 0
 
 
+def links_by_hand(rows):
+    """(doc_id, text) -> the number of other rows with a linked set, in the rows' order."""
+    sets, out = [shingles(t) if i is not None else set() for i, t in rows], []
+    for k, a in enumerate(sets):
+        both = [len(a & b) for b in sets]
+        out.append(sum(bool(x) and 100 * x >= 75 * (len(a) + len(sets[j]) - x) for j, x in enumerate(both) if j != k))
+    return out
+
+
+def test_links_by_brute_force(docs, rows, spark, monkeypatch):
+    got = sorted((r.doc_id, r.n_links) for r in jaccard.jaccard_groups(docs).collect() if r.doc_id is not None)
+    want = links_by_hand([(r[0], r[1]) for r in rows])
+    assert got == sorted((r[0], n) for r, n in zip(rows, want) if r[0] is not None)
+    r = np.random.default_rng(11)
+    base, data = [f"w{k}" for k in range(120)], []
+    for k in range(150):  # from copies to a few edits, some of them shared, so that links go both ways
+        w = list(base)
+        for at in [*r.integers(0, 12, k % 3), *r.integers(0, 120, k % 7)]:
+            w[at] = f"x{at}" if at % 2 else f"x{at}y{k}"
+        data.append((k, " ".join(w)))
+    data += [(500 + k, data[k][1]) for k in range(20)] + [(900, "a word"), (901, "A  word")]
+    want = links_by_hand(data)
+    for half in (7, 1000):  # in parts and whole
+        monkeypatch.setattr(jaccard, "HALF", half)
+        found = jaccard.jaccard_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert {x.doc_id: x.n_links for x in found} == {i: n for (i, _), n in zip(data, want)}
+    assert len(set(want)) > 10
+
+
 def test_chain_of_near_copies(spark):
     words = [f"w{k}" for k in range(200)]
     rows = []
@@ -74,7 +103,7 @@ def test_index_alone_loses_no_link(docs, rows):
 def test_blocks_of_a_long_list():
     n = 300
     size, pos, comp = np.array([40 + k % 50 for k in range(n)]), np.array([k % 9 for k in range(n)]), np.arange(n) // 2
-    got = jaccard.mixed_pairs(np.zeros(n, np.uint64), np.arange(n), pos, comp, size, np.arange(n))
+    got = {p for part in jaccard.mixed_pairs(np.zeros(n, np.uint64), np.arange(n), pos, comp, size, np.arange(n)) for p in part}
     want = set()
     for i in range(n):
         for j in range(i):
