@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,8 @@ def work_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if given := conf.get("spark.checkpoint.dir", None):
         return given.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local["):
+    master = conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"file://{tempfile.gettempdir()}/saldora"
 
@@ -71,3 +76,39 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], total: int,
     near = rows.join(hot, key)
     far = rows.join(hot.select(*key), key, "left_anti").join(cold, key, how)
     return near.unionByName(far.select(*near.columns))
+
+
+def give_back() -> None:
+    """Gives memory that is free in this process back to the system, so that workers which live on stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """run, a function of an iterator of Arrow batches, that gives free memory back at the end of each task."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+_tools: dict = {}
+
+
+def tool(key: tuple, make):
+    """What make() gives, kept in the worker under key until another key is asked for: workers serve many operators one
+    after the other, and each should have the memory to itself."""
+    if key not in _tools:
+        _tools.clear()
+        give_back()
+        _tools[key] = make()
+    return _tools[key]

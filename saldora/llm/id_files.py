@@ -19,7 +19,6 @@ become their ids, as the tokenizers library does by default. Columns other than
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldora.llm.common import new_path
+from saldora.llm.common import new_path, tidy, tool
 from saldora.llm.pretokens import Numbers, byte_level, grown, runs
 
 MAGIC = b"SPL1"
@@ -183,20 +182,17 @@ class Encoder:
         return np.diff(bounds), flat
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, kind: str = "byte") -> list[tuple[int, int]]:
     """Writes one file a range of doc_id to folder (a URI); returns (file number, ids) of each, in order.
 
     Only these pairs, one a file, come to the driver."""
 
+    @tidy
     def run(batches):
         from pyarrow import fs
 
-        number, tool, writer = TaskContext.get().partitionId(), encoder(tokenizer), None
+        number, writer = TaskContext.get().partitionId(), None
+        encoder = tool((__name__, tokenizer), lambda: Encoder(tokenizer))
         store, root = fs.FileSystem.from_uri(folder)
         own, name = f"{root}/.{number:06d}-{uuid4().hex}", f"{root}/{number:06d}.ids"
         for batch in batches:
@@ -206,7 +202,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, kin
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(own)
                     writer = FileWriter(out, kind)
-                lens, flat = tool.encode(part.column(1).to_pylist())
+                lens, flat = encoder.encode(part.column(1).to_pylist())
                 flat = np.insert(flat, np.cumsum(lens), end_id)  # after each document's ids
                 writer.add(part.column(0).to_pylist(), (lens + 1).tolist(), flat.astype(np.uint32))
         if writer is not None:
@@ -228,6 +224,7 @@ def read_ids(spark: SparkSession, folder: str, files: list[tuple[int, int]]) ->
     for number, n in files:
         base[number], total = total, total + n
 
+    @tidy
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldora.llm.common import drop_ids, fits, join_checked, join_groups, stash
+from saldora.llm.common import drop_ids, fits, join_checked, join_groups, stash, tidy
 from saldora.llm.components import connected
 from saldora.llm.pretokens import runs
 
@@ -152,6 +152,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n, a, b (identity of the set), minima, cells (shingles by CELLS ranges of their hash, at most 255
     each); and rows with counts (a part of the sketch) only."""
 
+    @tidy
     def run(batches):
         names = ["doc_id", "n", "a", "b", "minima", "cells", "counts"]
         counts = np.zeros(1 << SKETCH, np.uint32)
@@ -181,6 +182,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def frequencies(rows: DataFrame) -> np.ndarray:
     """The sketch of all rows: 2**SKETCH counts, whatever the input."""
 
+    @tidy
     def add(batches):
         total = np.zeros(1 << SKETCH, np.uint64)
         for batch in batches:
@@ -202,10 +204,12 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     roles = stash(heads.unionByName(sent), "jaccard-roles")
     texts = join_checked(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), roles, F.col("doc_id") == F.col("id")).select("b", "salt", "a", "text")
 
+    @tidy
     def sets(batches):
         for part, found in sliced(batches, 3):
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in found], pa.binary())], ["b", "salt", "a", "hashes"])
 
+    @tidy
     def links(batches):
         key, heads = None, []
         for batch in batches:
@@ -290,14 +294,16 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
     parts = max(spark.sparkContext.defaultParallelism, entries // ENTRIES + 1)
     buckets = SPREAD * parts  # several to a task, so that tasks are even
 
+    @tidy
     def prefixes(batches):
         for part, sets in sliced(batches, 1):
             cut = []
             for s in sets:
                 order = np.argsort(shared.value[(s >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")
                 cut.append(s[order[: len(s) - needed(len(s)) + 1 if len(s) else 0]].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cut, pa.binary()), *part.columns[2:]], ["doc_id", "n", "hashes", *part.schema.names[2:]])
 
+    @tidy
     def deal(batches):
         held, size = [], 0
         for batch in batches:
@@ -326,6 +332,7 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
             rows.append((k, token[at].tobytes(), mine.astype(np.uint16).tobytes(), pos[at].astype(np.uint32).tobytes(), table[there].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "token", "owner", "pos", "rows"])
 
+    @tidy
     def meet(batches):
         """Bucket by bucket, as the rows come in that order."""
         bucket, rows = None, []
@@ -349,9 +356,15 @@ def crossing(docs: DataFrame, labels: DataFrame, counts: np.ndarray, entries: in
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
-    index = rows.mapInArrow(prefixes, "doc_id long, n long, hashes binary").where("n > 0")
-    index = join_checked(index, labels, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "hashes", F.coalesce("comp", "doc_id").alias("comp"))
-    dealt = index.mapInArrow(deal, "bucket int, token binary, owner binary, pos binary, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    comp, dealt = F.coalesce("comp", "doc_id").alias("comp"), "bucket int, token binary, owner binary, pos binary, rows binary"
+    if fits(labels):  # labels come to the scan: one pass, one Python worker a task
+        placed = rows.join(F.broadcast(labels), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", comp)
+        dealt = placed.mapInArrow(tidy(lambda batches: deal(prefixes(batches))), dealt)
+    else:  # texts do not travel, prefixes do
+        index = rows.mapInArrow(prefixes, "doc_id long, n long, hashes binary").where("n > 0")
+        index = index.join(labels.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", "hashes", comp)
+        dealt = index.mapInArrow(deal, dealt)
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return stash(dealt.mapInArrow(meet, "a long, b long").distinct(), "jaccard-crossing")
 
 
@@ -359,6 +372,7 @@ def may_link(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose cells (rows: signatures) leave room for the overlap needed: two sets share in a range of
     hashes at most what the one with fewer there has. Drops most pairs that share a passage only, before sets travel."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             a, b, m, n, x, y = batch.columns
@@ -387,6 +401,7 @@ def differences(docs: DataFrame, classes: DataFrame) -> DataFrame:
     names = ["comp", "salt", "role", "key", "m"]
     texts = join_checked(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), roles, F.col("doc_id") == F.col("id")).select(*names, "text")
 
+    @tidy
     def sets(batches):
         for part, found in sliced(batches, 5):
             # A doc_id may stand in several rows: only the set that is meant goes on.
@@ -394,6 +409,7 @@ def differences(docs: DataFrame, classes: DataFrame) -> DataFrame:
             there = np.array([len(x) > 0 and int(identity(x)) == k for x, k in zip(found, keys.tolist())], bool)
             yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([x.tobytes() for x in found], pa.binary())], [*names, "hashes"]).filter(pa.array(there))
 
+    @tidy
     def compared(batches):
         group, head, done = None, None, set()
         for batch in batches:
@@ -455,6 +471,7 @@ def link_counts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).drop("parts")
     rows = rows.select("comp", F.least("p", "q").alias("one"), F.greatest("p", "q").alias("two"), F.col("p").alias("side"), "key", "m", "cost", "base", "diff")
 
+    @tidy
     def run(batches):
         group, sides = None, {}
         for batch in batches:

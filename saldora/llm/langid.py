@@ -17,13 +17,14 @@ go. Columns other than doc_id, text and (for learning) lang are not looked at; a
 
 from __future__ import annotations
 
-import functools
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saldora.llm import common
 from saldora.llm.pretokens import Numbers, grown, letters
 
 SAMPLE = 200
@@ -33,7 +34,7 @@ SMOOTH = 100.0
 LONG = 48
 PART = 8192
 SCALE = 16.0
-CACHE = 200_000
+CACHE, FEW = 150_000, 4_000
 SLICE = 256
 MARK = "▁"
 
@@ -74,11 +75,6 @@ class Vocabulary:
                     add((i, j, node[None]))
 
 
-@functools.cache
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 class Lattices:
     """The edges of many words, for sums over all of them at once; words of at most LONG characters."""
 
@@ -193,8 +189,8 @@ class Predictor:
 
     def _learn(self, words: list[str], n: int) -> None:
         self.scores = grown(self.scores, n + len(words))
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
+        for k in range(0, len(words), FEW):
+            some = words[k : k + FEW]
             self.scores[n + k : n + k + len(some)] = word_scores(self.vocab, some, self.probs)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -225,6 +221,8 @@ def learn(docs: DataFrame, vocab_path: str, sample: int = SAMPLE) -> tuple[list[
     span = 1 << 30
     below = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(span * min(1.0, sample / r["count"])))) for r in sizes], F.lit(-1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < below)
+
+    @common.tidy
     def words(batches):
         find = letters()
         for batch in batches:
@@ -235,15 +233,22 @@ def learn(docs: DataFrame, vocab_path: str, sample: int = SAMPLE) -> tuple[list[
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "count"))):
         counts.setdefault(lang, {})[word] = n
-    return fit(vocabulary(vocab_path), counts)
+    return fit(Vocabulary(vocab_path), counts)
+
+
+def predictor(spark: SparkSession, model: tuple[list[str], np.ndarray], vocab_path: str):
+    """A function that gives a task the Predictor of its worker."""
+    shared, name = spark.sparkContext.broadcast(model), uuid4().hex  # pieces x languages, whatever the corpus
+    return lambda: common.tool((__name__, name), lambda: Predictor(Vocabulary(vocab_path), *shared.value))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages, whatever the corpus
+    tool_of = predictor(docs.sparkSession, model, vocab_path)
 
+    @common.tidy
     def run(batches):
-        tool = Predictor(vocabulary(vocab_path), *shared.value)
+        tool = tool_of()
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
@@ -260,11 +265,12 @@ def identify(docs: DataFrame, vocab_path: str) -> DataFrame:
 
 def known_language(docs: DataFrame, vocab_path: str, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is known with a score of at least `least`, columns unchanged; one scan, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, vocab_path))
+    tool_of = predictor(docs.sparkSession, learn(docs, vocab_path), vocab_path)
     at = docs.columns.index("text")
 
+    @common.tidy
     def run(batches):
-        tool = Predictor(vocabulary(vocab_path), *shared.value)
+        tool = tool_of()
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)

@@ -33,11 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from saldora.llm import common
 from saldora.llm.pretokens import Numbers, grown, runs
 
 N = 3
 SHIFT = 100
-CACHE, SEARCHED = 300_000, 50_000
+CACHE, SEARCHED = 200_000, 20_000
 SLICE = 256
 MARK = "▁"
 #: What a character outside the vocabulary costs below the worst piece.
@@ -307,16 +308,6 @@ class Encoder:
         return same & np.array([data[e - n : e].tobytes() == w for w, n, e in zip(want, size.tolist(), ends)], bool)
 
 
-@functools.cache
-def encoder(path: str, n: int) -> Encoder:
-    return Encoder(path, n)
-
-
-@functools.cache
-def decoder(path: str) -> NBest:
-    return NBest(path)
-
-
 EDIT = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_ok boolean, ids array<int>, others array<array<struct<at: int, size: int, ids: array<int>>>>"
 NAMES = ["doc_id", "n_pieces", "ids_crc32", "scores", "decoded_ok", "ids", "others"]
@@ -327,8 +318,9 @@ def segmented(docs: DataFrame, model: str, n: int = N) -> DataFrame:
     scores of the n best; others, for each further one the slices of ids that it replaces (see expanded()); and
     decoded_ok, whether ids decode to the text."""
 
+    @common.tidy
     def run(batches):
-        tool = encoder(model, n)
+        tool = common.tool((__name__, model, n), lambda: Encoder(model, n))
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
@@ -348,6 +340,7 @@ def segmented(docs: DataFrame, model: str, n: int = N) -> DataFrame:
 def expanded(found: DataFrame) -> DataFrame:
     """doc_id, rank (from 1), score, ids: one row for each segmentation that segmented() gives."""
 
+    @common.tidy
     def run(batches):
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(4)]
@@ -362,8 +355,9 @@ def expanded(found: DataFrame) -> DataFrame:
 def decoded(found: DataFrame, model: str) -> DataFrame:
     """doc_id, text of rows with doc_id and ids; null ids give a null text, bytes that are no UTF-8 the sign for that."""
 
+    @common.tidy
     def run(batches):
-        tool = decoder(model)
+        tool = common.tool((__name__, model), lambda: NBest(model))
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)

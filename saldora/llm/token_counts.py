@@ -12,7 +12,6 @@ doc_id and text are not looked at. Memory: one Arrow batch, and at most CACHE co
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -21,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from saldora.llm.common import tidy, tool
 from saldora.llm.pretokens import byte_symbols, word_level
 
 CACHE = 300_000
@@ -134,21 +134,17 @@ class TokenCounter:
         return [sum(map(get, p)) + extra for p, extra in cut]
 
 
-@functools.cache
-def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens above limit) of every row of docs."""
 
+    @tidy
     def run(batches):
-        tool = counter(tokenizer)
+        counter = tool((__name__, tokenizer), lambda: TokenCounter(tokenizer))
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 texts = part.column(1).to_pylist()
-                n = pa.array(tool.count(texts), pa.int64())
+                n = pa.array(counter.count(texts), pa.int64())
                 size = pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64())
                 over = pa.array([x > limit for x in n.to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, n, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -62,7 +62,7 @@ def segmentations(word, pieces):
 
 
 def test_forward_sums_all_segmentations():
-    v = langid.vocabulary(tokenizer("piece_bpe_32k.model"))
+    v = langid.Vocabulary(tokenizer("piece_bpe_32k.model"))
     ids, rng = {n: k for k, n in enumerate(v.names)}, np.random.default_rng(0)
     probs = rng.random((v.size, 3))
     probs /= probs.sum(0)
