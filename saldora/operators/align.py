@@ -70,12 +70,16 @@ def tables_in(pages: DataFrame) -> DataFrame:
 
 
 def candidates(cur: DataFrame, pri: DataFrame) -> DataFrame:
-    """Pairs of paragraphs with their similarity. Both measures need shared text: a pair must share a word."""
-    def side(x: DataFrame, ord_: str, norm: str) -> DataFrame:
-        return x.select("pair_id", F.col("par_ord").alias(ord_), T.normalise_prose(F.col("text")).alias(norm)).where(F.col(norm) != "")
-
-    a, b = side(cur, "i", "a"), side(pri, "j", "b")
-    pairs = a.join(b, "pair_id").where(F.arrays_overlap(F.split("a", " "), F.split("b", " ")))
+    """Pairs of paragraphs with their similarity, all that can reach PAIR: the word measure needs a shared word, the
+    ratio of characters enough letters in common, whatever their order."""
+    def side(x: DataFrame, ord_: str, norm: str, letters: str) -> DataFrame:
+        rows = x.select("pair_id", F.col("par_ord").alias(ord_), T.normalise_prose(F.col("text")).alias(norm)).where(F.col(norm) != "")
+        return rows.withColumn(letters, T.letter_counts(F.col(norm)))
+
+    a, b = side(cur, "i", "a", "x"), side(pri, "j", "b", "y")
+    words = F.arrays_overlap(F.split("a", " "), F.split("b", " "))
+    letters = 2 * T.shared_letters(F.col("x"), F.col("y")) >= PAIR * (F.length("a") + F.length("b"))
+    pairs = a.join(b, "pair_id").where(words | letters)
     return pairs.select("pair_id", "i", "j", prose_ratio("a", "b").alias("r"))
 
 
@@ -103,9 +107,10 @@ def align(cur: DataFrame, pri: DataFrame) -> DataFrame:
     matched = pairs.join(c, ["pair_id", "i"]).join(p, ["pair_id", "j"]).withColumn("status", F.when(F.col("r") >= EQUAL, S.SAME).otherwise(S.CHANGED))
 
     def alone(x: DataFrame, key: str, text: str, other: DataFrame, other_text: str) -> DataFrame:
-        left = x.join(pairs.select("pair_id", key), ["pair_id", key], "left_anti").withColumn("n", T.normalise_prose(F.col(text)))
-        pool = other.select("pair_id", T.normalise_prose(F.col(other_text)).alias("m"))
-        held = left.where("n = ''").select("pair_id", key).union(left.join(pool, "pair_id").where(F.arrays_overlap(F.split("n", " "), F.split("m", " "))).where(prose_coverage("n", "m") >= COVERED).select("pair_id", key)).distinct()
+        left = x.join(pairs.select("pair_id", key), ["pair_id", key], "left_anti").withColumn("n", T.normalise_prose(F.col(text))).withColumn("x", T.letter_counts(F.col("n")))
+        pool = other.select("pair_id", T.normalise_prose(F.col(other_text)).alias("m")).withColumn("y", T.letter_counts(F.col("m")))
+        may = F.arrays_overlap(F.split("n", " "), F.split("m", " ")) | (T.shared_letters(F.col("x"), F.col("y")) >= COVERED * F.length("n"))
+        held = left.where("n = ''").select("pair_id", key).union(left.join(pool, "pair_id").where(may).where(prose_coverage("n", "m") >= COVERED).select("pair_id", key)).distinct()
         return left.join(held, ["pair_id", key], "left_anti")
 
     null = lambda t: F.lit(None).cast(t)
@@ -135,6 +140,12 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id").orderBy(order, page, F.col("i").asc_nulls_last(), "j")))
 
 
+def status_counts(rows: DataFrame) -> DataFrame:
+    """Per pair: rows of each status and all rows."""
+    counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in (S.SAME, S.CHANGED, S.NEW, S.MISSING)]
+    return rows.groupBy("pair_id").agg(*counts, F.count("*").alias("total"))
+
+
 def only_new(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("status") == S.NEW)
 

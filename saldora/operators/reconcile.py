@@ -54,3 +54,9 @@ def reconcile(notes: DataFrame, front: DataFrame, tolerance: float = TOLERANCE)
         F.when(F.col("any"), F.col("hit.p")).otherwise(F.col("first.p")).alias("front_page"), "notes_page", F.when(F.col("any") | summed, S.OK).otherwise(S.DEVIATION).alias("status"))
     order = Window.partitionBy("doc_id").orderBy((F.col("status") != S.DEVIATION).cast("int"), "label", "item_ord")
     return out.withColumn("rank", F.row_number().over(order))
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """Per document: rows of reconcile() that agree, that deviate, and all."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
+    return rows.groupBy("doc_id").agg(of(S.OK), of(S.DEVIATION), F.count("*").alias("total"))

@@ -41,13 +41,28 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 
 def by_ratio(cur: DataFrame, pri: DataFrame, least: float = FUZZY) -> DataFrame:
-    """Nearly equal keys. Lengths are banded so that only bands whose keys can reach the ratio meet in the join."""
-    step = F.log(F.lit((2 - least) / least))
-    band = F.floor(F.log(F.length("key").cast("double")) / step).cast("int")
-    c = _keys(cur).select("pair_id", F.col("key").alias("a"), band.alias("band"))
-    p = _keys(pri).select("pair_id", F.col("key").alias("b"), "first", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    """Nearly equal keys. A ratio of `least` leaves at most (1 - least) of the two lengths' sum unmatched.
+
+    Where that is less than two characters, one key is the other with at most one character taken out: they meet in a
+    join of keys with such variants. Longer keys meet by bands of length that can reach the ratio, and must have enough
+    letters in common, whatever their order, before the ratio is worked out."""
     la, lb = F.length("a"), F.length("b")
-    both = c.join(p, ["pair_id", "band"]).where(2 * F.least(la, lb) >= least * (la + lb))
+    c, p = _keys(cur).select("pair_id", F.col("key").alias("a")), _keys(pri).select("pair_id", F.col("key").alias("b"), "first")
+    short = (1 - least) * (la + lb) < 2
+    without = lambda k: F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.concat(F.left(k, i - 1), F.substring(k, i + 1, F.length(k))))
+    may = lambda k: (1 - least) * (2 * F.length(k) - 1) < 2
+    with_variants = lambda x, k: x.where(may(k)).select("*", F.explode(F.array_union(F.array(k), without(k))).alias("v"))
+    close = with_variants(c, "a").join(p.withColumn("v", F.col("b")), ["pair_id", "v"]).unionByName(c.withColumn("v", F.col("a")).join(with_variants(p, "b"), ["pair_id", "v"]))
+    close = close.where(short).select("pair_id", "a", "b", "first").distinct()
+
+    step = F.log(F.lit((2 - least) / least))
+    band = lambda k: F.floor(F.log(F.length(k).cast("double")) / step).cast("int")
+    long_enough = lambda k: F.length(k) * (1 - least) * (1 + (2 - least) / least) >= 2
+    far_c = c.where(long_enough("a")).select("*", band("a").alias("band"), T.letter_counts(F.col("a")).alias("x"))
+    far_p = p.where(long_enough("b")).select("*", F.explode(F.array(band("b") - 1, band("b"), band("b") + 1)).alias("band"), T.letter_counts(F.col("b")).alias("y"))
+    far = far_c.join(far_p, ["pair_id", "band"]).where(~short & (2 * F.least(la, lb) >= least * (la + lb)))
+    far = far.where(2 * T.shared_letters(F.col("x"), F.col("y")) >= least * (la + lb)).select("pair_id", "a", "b", "first")
+    both = close.unionByName(far)
     scored = both.withColumn("score", label_ratio("a", "b")).where(F.col("score") >= least)
     best = Window.partitionBy("pair_id", "a").orderBy(F.desc("score"), "first")
     found = scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("pair_id", F.col("a").alias("key"), F.col("first").alias("pri_ord"), "score")

@@ -81,6 +81,27 @@ def test_length_band_loses_no_pair(spark):
             assert (c, -best[1]) in got
 
 
+def test_short_keys_meet_by_one_character(spark):
+    keys = ["forderungen", "forderung", "forderungenx", "orderungen", "kd1234", "kd12345", "rueckstellungenfuerurlaube", "rueckstellungfuerurlaube", "rueckstellungenfuerurlauben"]
+    side = spark.createDataFrame([("p", k, x, 1.0, 1.0) for k, x in enumerate(keys)], "pair_id string, item_ord long, key string, opening double, closing double")
+    got = {(r.cur_ord, r.pri_ord): r.score for i in range(len(keys)) for r in yoy.by_ratio(side.where(f"item_ord <> {i}"), side.where(f"item_ord = {i}")).collect()}
+    want = {(c, p): SequenceMatcher(None, a, b).ratio() for c, a in enumerate(keys) for p, b in enumerate(keys) if c != p and SequenceMatcher(None, a, b).ratio() >= 0.95}
+    assert got == want and want
+
+
+def test_paragraphs_without_a_common_word(spark):
+    a = "konzernabschlusspruefer bestaetigte geschaeftsbericht vollinhaltlich"
+    b = " ".join(w + "s" for w in a.split())
+    one = lambda t: spark.createDataFrame([("p", 0, t, 1)], "pair_id string, par_ord long, text string, page int")
+    assert [r.status for r in align.align(one(a), one(b)).collect()] == [S.SAME]
+
+
+def test_many_glued_items_and_thousands(spark):
+    line = " ".join(f"Posten{chr(97 + k)} {k + 1},00" for k in range(9))
+    got = spark.createDataFrame([(line,)], "x string").select(T.unglue(F.col("x")).alias("p"), T.repair_numbers(F.lit("1234,567,89 und 1,234,567,89")).alias("r")).first()
+    assert len(got.p) == 9 and got.r == "1234,567,89 und 1.234.567,89"
+
+
 def docx(blocks):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
