@@ -6,7 +6,8 @@ characters, reaches the threshold of their class (hex digits, letters and digits
 its runs of PARTS of at least WINDOW characters are held against the thresholds of their own classes, so that a name
 in front of a key does not raise what the key must reach; the span is the whole string. The window slides by one:
 counts of its characters and the sum of c * log2(c) are carried on and changed by the character that leaves and the
-one that enters. Candidates on the allow-list, or overlapping a span of a fixed kind, are not added.
+one that enters. Candidates on the allow-list are not added. Spans of the fixed kinds are blanked first, one kind after
+the other as listed, each in what the one before left, so that a secret that holds such a span is judged by the rest.
 
 Spans are [start, end) in code points of the whole match. They are taken from the lengths of what split() leaves
 between matches and of the matches themselves, which come from the same left-to-right search.
@@ -30,6 +31,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "entropy")
 
+RUN = 256
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
@@ -49,14 +51,24 @@ ALLOWED = (
 PARTS = tuple(rf"[{c}]{{{WINDOW},}}" for c in ("A-Za-z0-9+/", "A-Za-z0-9", "0-9A-Fa-f"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """array<struct<gap, m>>: every match with the text before it, and at last the text that is left, with a null m."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found>> of the leftmost non-overlapping matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    step = F.transform(F.arrays_zip(between.alias("g"), found.alias("m")), lambda x: F.struct(x["g"].alias("gap"), x["m"].alias("m")))
-    step = F.filter(step, lambda x: x["m"].isNotNull())
-    none = F.expr("cast(array() as array<struct<start: int, end: int, found: string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    """array<struct<start, end, found>> of the leftmost non-overlapping matches.
+
+    Places are summed up in runs of RUN matches, so that no array over all matches is copied at each of them."""
+    step = F.filter(F.transform(pieces(text, pattern), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["m"].alias("m"))), lambda x: x["m"].isNotNull())
+    one_run = "array<struct<start: int, end: int, found: string>>"
+    none = F.expr(f"cast(array() as {one_run})")
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{one_run}>)").alias("runs"))
 
     def add(acc, x):
         at = acc["at"] + x["gap"]
@@ -64,33 +76,49 @@ def spans(text: Column, pattern: str) -> Column:
         one = F.struct(at.alias("start"), end.alias("end"), x["m"].alias("found"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(step, start, add, lambda acc: acc["out"]))
+    def add_run(acc, part):
+        begin = F.struct(acc["at"].alias("at"), none.alias("out"))
+        return F.aggregate(part, begin, add, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["runs"], F.array(r["out"])).alias("runs")))
+
+    def summed(steps):
+        parts = F.transform(F.sequence(F.lit(0), (F.size(steps) - 1).cast("int"), F.lit(RUN)), lambda k: F.slice(steps, k + 1, F.lit(RUN)))
+        return F.when(F.size(steps) == 0, none).otherwise(F.aggregate(parts, start, add_run, lambda acc: F.flatten(acc["runs"])))
+
+    return let(step, summed)
+
+
+def blanked(text: Column, pattern: str, real=lambda m: F.lit(True)) -> Column:
+    """text with the matches that are real replaced by as many spaces."""
+    blank = lambda m: F.when(m.isNull(), "").when(real(m), F.repeat(F.lit(" "), F.length(m))).otherwise(m)
+    return F.array_join(F.transform(pieces(text, pattern), lambda x: F.concat(x["gap"], blank(x["m"]))), "")
 
 
 def best_entropy(found: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of any window characters in a row; found has at least that many."""
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(found, i, F.lit(1)))  # noqa: E731  1-based
+    codes = F.transform(F.filter(F.split(found, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))  # 1-based
     table = F.array(*[F.expr(f"double({c} * coalesce(log2({c}), 0))") for c in range(window + 2)])
     weigh = lambda c: F.element_at(table, c + 1)
     bump = lambda counts, k, by: F.transform(counts, lambda c, i: F.when(i == k - 1, c + by).otherwise(c))
     zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
 
-    def slide(acc, i):
-        enter, leave = at(i), at(i - window)
-        c = F.element_at(acc["n"], enter)
-        n1, s1 = bump(acc["n"], enter, 1), acc["s"] + weigh(c + 1) - weigh(c)
-        return F.struct(n1.alias("n"), s1.alias("s"), acc["low"].alias("low"), enter.alias("e"), leave.alias("l"))
+    def slide(acc, x):
+        c = F.element_at(acc["n"], x["enter"])
+        n1, s1 = bump(acc["n"], x["enter"], 1), acc["s"] + weigh(c + 1) - weigh(c)
+        return F.struct(n1.alias("n"), s1.alias("s"), acc["low"].alias("low"))
 
-    def out(acc, i):
-        d = F.element_at(acc["n"], acc["l"])
-        full = i > window
-        n2 = F.when(full, bump(acc["n"], acc["l"], -1)).otherwise(acc["n"])
+    def out(acc, x):
+        d, full = F.element_at(acc["n"], x["leave"]), x["i"] >= window
+        n2 = F.when(full, bump(acc["n"], x["leave"], -1)).otherwise(acc["n"])
         s2 = F.when(full, acc["s"] + weigh(d - 1) - weigh(d)).otherwise(acc["s"])
-        return F.struct(n2.alias("n"), s2.alias("s"), F.when(i >= window, F.least(acc["low"], s2)).otherwise(acc["low"]).alias("low"))
+        return F.struct(n2.alias("n"), s2.alias("s"), F.when(x["i"] >= window - 1, F.least(acc["low"], s2)).otherwise(acc["low"]).alias("low"))
+
+    def least(c):
+        leave = lambda i: F.when(i >= window, F.element_at(c, i - window + 1)).otherwise(1)
+        steps = F.transform(c, lambda e, i: F.struct(e.alias("enter"), leave(i).alias("leave"), i.alias("i")))
+        return F.aggregate(steps, zero, lambda acc, x: out(slide(acc, x), x), lambda acc: acc["low"])
 
     # H = log2(window) - sum(c * log2(c)) / window: the best window has the least sum.
-    low = F.aggregate(F.sequence(F.lit(1), F.length(found)), zero, lambda acc, i: out(slide(acc, i), i), lambda acc: acc["low"])
-    return F.log2(F.lit(float(window))) - low / window
+    return F.log2(F.lit(float(window))) - let(codes, least) / window
 
 
 def harmless(found: Column) -> Column:
@@ -125,14 +153,19 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(F.contains("t", F.lit("AKIA")), spans(F.col("t"), ACCESS)).otherwise(none).alias("access"),
         # The runs of 16 and more are just the matches of the kind that are long enough, for both patterns below.
         F.when(F.col("t").rlike(f"[0-9a-f]{{{HEX_LEAST},}}"), spans(F.col("t"), f"[0-9a-f]{{{HEX_LEAST},}}")).otherwise(none).alias("hex"),
-        F.when(F.col("t").rlike(CANDIDATE), F.filter(spans(F.col("t"), CANDIDATE), lambda x: x["found"].rlike("[0-9]"))).otherwise(none).alias("more"))
-    long_enough = F.filter("assign", lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
+        F.when(F.col("t").rlike(CANDIDATE), F.col("t")).alias("t"))
+    assigned = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST
+    long_enough = F.filter("assign", lambda x: assigned(x["found"]))
     access = F.filter("access", lambda x: x["end"] - x["start"] >= ACCESS_LEAST)
-    rows = rows.select("doc_id", long_enough.alias("assign"), access.alias("access"), "hex", "more")
+    rows = rows.select("doc_id", long_enough.alias("assign"), access.alias("access"), "hex", "t")
+    free = F.when(F.size("assign") > 0, blanked(F.col("t"), ASSIGN, assigned)).otherwise(F.col("t"))
+    free = F.when(F.size("access") > 0, blanked(free, f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")).otherwise(free)
+    free = F.when(F.size("hex") > 0, blanked(free, f"[0-9a-f]{{{HEX_LEAST},}}")).otherwise(free)
+    more = F.filter(let(free, lambda t: spans(t, CANDIDATE)), lambda x: x["found"].rlike("[0-9]"))
+    rows = rows.select("doc_id", "assign", "access", "hex", F.when(F.col("t").isNotNull(), more).otherwise(none).alias("more"))
     as_kind = lambda c, k: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     rows = rows.withColumn("base", F.concat(*[as_kind(c, k) for k, c in enumerate(KINDS[:3])]))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.filter("more", lambda x: apart(x) & high_entropy(x["found"]))
+    added = F.filter("more", lambda x: high_entropy(x["found"]))
     return rows.select("doc_id", "assign", "access", "hex", "base", F.when(F.size("more") == 0, F.col("base")).otherwise(F.concat("base", as_kind(added, 3))).alias("all"))
 
 
