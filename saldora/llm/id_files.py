@@ -9,11 +9,13 @@ where the index is zstandard over JSON: the kind of planes, for each chunk its o
 the documents' ids and lengths, so that any chunk, and any document through its chunks, is read without the rest.
 
 Documents are range-partitioned by doc_id, one file a partition, so that files in order of their number hold all
-documents in ascending doc_id order and no task sees more than its range. A file is written beside its name and
-then renamed: a task that runs twice leaves the same file.
+documents in ascending doc_id order and no task sees more than its range; there are as many files as the input has
+splits. A file is written beside its name and then renamed: a task that runs twice leaves the same file. Files are
+read chunk by chunk, never as a whole, so that their size has no limit.
 
 Defined cases. A null or empty text has no ids but the end id. Null doc_ids come first. Rows of equal doc_id are
-ordered by text, null first; repeated rows are each written. An empty table makes no rows. Special strings in texts
+ordered by text, null first, and many of them spread over files by how their texts begin; repeated rows are each
+written. An empty table makes no rows. Special strings in texts
 become their ids, as the tokenizers library does by default. Columns other than doc_id and text are not looked at.
 """
 
@@ -40,6 +42,8 @@ MAGIC = b"SPL1"
 CHUNK = 65_536
 CACHE = 700_000
 SLICE = 256
+ROWS = 10_000
+MARK = 64
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -97,25 +101,36 @@ class FileWriter:
 
 
 class FileReader:
-    """Reads a file's bytes: index first, then any chunk."""
+    """Reads a file that can seek (or bytes): the index first, then any chunk or document by itself."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, file):
         import zstandard
 
+        self.file = pa.BufferReader(file) if isinstance(file, bytes) else file
         self.unpack = zstandard.ZstdDecompressor().decompress
-        if data[:4] != MAGIC:
+        if self._range(0, 4) != MAGIC:
             raise ValueError("not a file of token id planes")
-        self.data, n = data, struct.unpack("<Q", data[-8:])[0]
-        index = json.loads(self.unpack(data[-8 - n : -8]))
+        end = self.file.size() - 8
+        n = struct.unpack("<Q", self._range(end, 8))[0]
+        index = json.loads(self.unpack(self._range(end - n, n)))
         self.kind, self.chunks, self.docs, self.lens = (index[k] for k in ("kind", "chunks", "docs", "lens"))
 
+    def _range(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
     def read(self, k: int) -> np.ndarray:
         at, n, sizes = self.chunks[k]
-        planes = []
-        for size in sizes:
-            planes.append(self.unpack(self.data[at : at + size]))
-            at += size
-        return from_planes(planes, n, self.kind)
+        data, cuts = self._range(at, sum(sizes)), np.cumsum([0, *sizes])
+        return from_planes([self.unpack(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], n, self.kind)
+
+    def document(self, k: int) -> np.ndarray:
+        """Ids of the file's document k, from the chunks that hold them."""
+        ends, start = np.cumsum([c[1] for c in self.chunks]), sum(self.lens[:k])
+        one, two = np.searchsorted(ends, [start, start + self.lens[k] - 1], side="right")
+        flat = np.concatenate([self.read(c) for c in range(one, two + 1)]) if self.lens[k] else np.empty(0, np.uint32)
+        at = start - (int(ends[one - 1]) if one else 0)
+        return flat[at : at + self.lens[k]]
 
     def documents(self):
         """(doc_id, start in the file, ids) of each document, chunk by chunk."""
@@ -211,7 +226,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, kin
             store.move(own, name)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([total], pa.int64())], ["number", "total"])
 
-    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text", f"substring(text, 1, {MARK}) as mark")
+    # As many files as the scan has splits: a file's size follows the size of a split, whatever the input's.
+    files = max(rows.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.repartitionByRange(files, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     return sorted((r["number"], r["total"]) for r in rows.mapInArrow(run, "number long, total long").collect())
 
 
@@ -220,21 +238,31 @@ def read_ids(spark: SparkSession, folder: str, files: list[tuple[int, int]]) ->
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
-    base, total = {}, 0
+    starts, total = [], 0
     for number, n in files:
-        base[number], total = total, total + n
+        starts.append((number, total))
+        total += n
 
     @tidy
     def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                before = base[int(re.search(r"(\d+)\.ids$", path)[1])]
-                rows = [(d, before + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in FileReader(data.as_buffer().to_pybytes()).documents()]
-                cols = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)
-    return found.select("path", "content").mapInArrow(run, schema)
+            for number, before in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_file(f"{root}/{number:06d}.ids") as file:
+                    rows, documents = [], FileReader(file).documents()
+                    for doc, at, ids in documents:
+                        rows.append((doc, before + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        if len(rows) == ROWS:
+                            yield found(rows)
+                            rows = []
+                    yield found(rows)
+
+    def found(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return spark.createDataFrame(starts, "number long, before long").repartition(len(starts)).mapInArrow(run, schema)
 
 
 def id_files(docs: DataFrame, tokenizer: str, end_id: int = 0, kind: str = "byte", folder: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from saldora.llm import id_files, langid, nbest, token_counts
@@ -53,6 +54,22 @@ def test_id_files_round_trip(docs, rows, spark, libraries, empty, tmp_path):
     assert id_files.id_files(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_chunks_and_documents_of_one_file(tmp_path, kind):
+    rng, lens = np.random.default_rng(3), [0, 5, 1, 40, 0, 7, 300, 2]
+    ids = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in lens]
+    with pa.OSFile(str(tmp_path / "a.ids"), "wb") as out:
+        writer = id_files.FileWriter(out, kind, chunk=16)
+        for k, x in enumerate(ids):
+            writer.add([k], [len(x)], x)
+        assert writer.close() == sum(lens)
+    with pa.OSFile(str(tmp_path / "a.ids")) as file:
+        reader, flat = id_files.FileReader(file), np.concatenate(ids)
+        assert (reader.read(9) == flat[144:160]).all() and (reader.read(2) == flat[32:48]).all()
+        assert all((reader.document(k) == x).all() for k, x in enumerate(ids))
+        assert [(d, at, x.tolist()) for d, at, x in reader.documents()] == [(k, sum(lens[:k]), x.tolist()) for k, x in enumerate(ids)]
+
+
 def segmentations(word, pieces):
     for cuts in itertools.product([False, True], repeat=len(word) - 1):
         at = [0, *(i for i, c in enumerate(cuts, 1) if c), len(word)]
