@@ -8,7 +8,9 @@ import gc
 import tempfile
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,15 @@ def tidy(run):
     return tidied
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, size: int):
+    """Slices of a batch whose texts hold about so many bytes together; a longer text is in one of its own or ends one."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cut = [0, *(np.flatnonzero(np.diff(held // size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cut[:-1], cut[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 _tools: dict = {}
 
 

@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldora.llm.common import new_path, tidy, tool
+from saldora.llm.common import by_bytes, new_path, tidy, tool
 from saldora.llm.pretokens import Numbers, byte_level, grown, runs
 
 MAGIC = b"SPL1"
 CHUNK = 65_536
 CACHE = 700_000
-SLICE = 256
+SLICE = 4 << 20
 ROWS = 10_000
 MARK = 64
 
@@ -167,10 +167,10 @@ class Encoder:
         self.begin = np.cumsum(self.size) - self.size
 
     def _learn(self, words: list[str], n: int) -> None:
-        ids = [[self.names[w]] if w in self.names else None for w in words]
-        plain = [w for w, i in zip(words, ids) if i is None]
-        found = iter(self.tok.encode_batch_fast(plain, add_special_tokens=False))
-        ids = [next(found).ids if i is None else i for i in ids]
+        special = {k: w for k, w in enumerate(words) if w in self.names}
+        ids = [x.ids for x in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        for k, w in special.items():
+            ids[k] = [self.names[w]]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lens.sum())
         self.begin, self.size = grown(self.begin, n + len(words)), grown(self.size, n + len(words))
@@ -211,8 +211,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, kin
         store, root = fs.FileSystem.from_uri(folder)
         own, name = f"{root}/.{number:06d}-{uuid4().hex}", f"{root}/{number:06d}.ids"
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
+            for part in by_bytes(batch, 1, SLICE):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(own)

@@ -9,7 +9,7 @@ import functools
 import re
 import sys
 import unicodedata
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -82,6 +82,26 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class Known(dict):
+    """Numbers by string; one that is not there gets the next number when it is asked for, and is noted in fresh."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.fresh = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+    def take_back(self) -> list[str]:
+        """Forgets the fresh strings and gives them."""
+        fresh, self.fresh = self.fresh, []
+        for w in fresh:
+            del self[w]
+        return fresh
+
+
 class Numbers:
     """Numbers strings from 0 as they come, and has them learned.
 
@@ -91,46 +111,48 @@ class Numbers:
     LETTERS = 32
 
     def __init__(self, learn, forget, limit: int):
-        self.learn, self.forget, self.limit, self.known = learn, forget, limit, {}
+        self.learn, self.forget, self.limit, self.known = learn, forget, limit, Known()
         self.again, self.letters = np.zeros(1 << 10, bool), 0
 
     def __len__(self) -> int:
         return len(self.known)
 
-    def add(self, words: list[str]) -> None:
-        start = len(self.known)
-        self.learn(words, start)
-        self.known.update(zip(words, range(start, start + len(words))))
-        self.letters += sum(map(len, words))
-        while len(self.again) < len(self.known):
-            self.again = np.concatenate((self.again, np.zeros_like(self.again)))
-
     def make_room(self, n: int) -> None:
         """Forgets what was not met again, or everything if that leaves too little room for n more."""
         flags = self.again[: len(self.known)].tolist()
         kept = [(w, k) for (w, k), met in zip(self.known.items(), flags) if met and len(w) <= self.LETTERS]
         if len(kept) + n > self.limit or len(kept) > self.limit // 2:
             kept = []
-        self.known = {w: k for k, (w, _) in enumerate(kept)}
-        self.letters = sum(map(len, self.known))
+        self.known = Known(zip((w for w, _ in kept), range(len(kept))))
+        self.letters = sum(len(w) for w, _ in kept)
         self.again[:] = False
         self.forget(np.array([k for _, k in kept], np.int64))
 
+    def _ask(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """The numbers of words, and how many strings were known before."""
+        start = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        while len(self.again) < start:
+            self.again = np.concatenate((self.again, np.zeros_like(self.again)))
+        self.again[at[at < start]] = True
+        return at, start
+
     def of(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(the numbers of all strings, the length of each list); new strings are learned in the order of their text."""
+        """(the numbers of all strings, the length of each list); new strings are learned in the order they come."""
         lens = np.fromiter(map(len, lists), np.int64, len(lists))
         words = list(chain.from_iterable(lists))
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
-        miss = np.flatnonzero(at < 0)
-        self.again[at[at >= 0]] = True
-        if len(miss):
-            new = {words[i] for i in miss.tolist()}
-            if len(self.known) + len(new) > self.limit or self.letters > self.LETTERS * self.limit:
-                self.make_room(len(new))
-                new = set(words).difference(self.known)
-                miss = np.arange(len(words))
-            self.add(sorted(new))
-            at[miss] = np.fromiter((self.known[words[i]] for i in miss.tolist()), np.int32, len(miss))
+        at, start = self._ask(words)
+        if start and self.known.fresh and (len(self.known) > self.limit or self.letters > self.LETTERS * self.limit):
+            self.make_room(len(self.known.take_back()))
+            at, start = self._ask(words)
+        if self.known.fresh:
+            try:
+                self.learn(self.known.fresh, start)
+            except BaseException:
+                self.known.take_back()
+                raise
+            self.letters += sum(map(len, self.known.fresh))
+            self.known.fresh = []
         return at, lens
 
 
