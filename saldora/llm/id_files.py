@@ -41,7 +41,7 @@ from saldora.llm.pretokens import Numbers, byte_level, grown, runs
 MAGIC = b"SPL1"
 CHUNK = 65_536
 CACHE = 1_200_000
-SLICE = 4 << 20
+SLICE = 8 << 20
 ROWS = 10_000
 MARK = 64
 

@@ -132,9 +132,9 @@ class Numbers:
         """The numbers of words, and how many strings were known before."""
         start = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
-        while len(self.again) < start:
-            self.again = np.concatenate((self.again, np.zeros_like(self.again)))
-        self.again[at[at < start]] = True
+        self.again = grown(self.again, len(self.known))
+        self.again[at] = True
+        self.again[start : len(self.known)] = False
         return at, start
 
     def of(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
