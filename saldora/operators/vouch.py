@@ -82,6 +82,11 @@ def counts(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin(S.OK, S.NOTE)).alias("ok"), F.count_if(F.col("status") == S.DEVIATION).alias("deviation"), F.count_if(F.col("status") == S.NO_VOUCHER).alias("no_voucher"))
 
 
+def recognised(facts: DataFrame) -> DataFrame:
+    """doc_id, source_types: the distinct kinds of supporting files that gave a fact, sorted; unknown ones are left out."""
+    return facts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("source_type") != "unknown", F.col("source_type")))).alias("source_types"))
+
+
 def voucher_type(head: Column) -> Column:
     """The type of a supporting file from its first pages or rows, the first rule that holds."""
     s = F.lower(head)

@@ -585,3 +585,17 @@ def text_status_counts(spark, sf_dir):
 def reconcile_counts(spark, sf_dir):
     s = F.when(F.col("o_orderstatus") == "F", S.OK).otherwise(S.DEVIATION)
     return reconcile.counts(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), s.alias("status")))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, coalesce(string_agg(DISTINCT CASE o_orderstatus WHEN 'F' THEN 'provisions' WHEN 'O' THEN 'receivables' END, ',' ORDER BY CASE o_orderstatus WHEN 'F' THEN 'provisions' WHEN 'O' THEN 'receivables' END), '') AS source_types
+    FROM orders GROUP BY 1""")
+def recognised_sources(spark, sf_dir):
+    kind = F.when(F.col("o_orderstatus") == "F", "provisions").when(F.col("o_orderstatus") == "O", "receivables").otherwise("unknown")
+    facts = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), kind.alias("source_type"))
+    return vouch.recognised(facts).withColumn("source_types", F.array_join("source_types", ","))
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'ABWEICHUNG' END AS status FROM orders""")
+def german_words(spark, sf_dir):
+    s = F.when(F.col("o_orderstatus") == "F", S.OK).when(F.col("o_orderstatus") == "O", S.DEVIATION)
+    return sinks.german_status(table(spark, sf_dir, "orders").select("o_orderkey", s.alias("status")))

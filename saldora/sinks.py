@@ -24,8 +24,10 @@ def yoy_sheets(rows: DataFrame, text_rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def german_status(df: DataFrame, column: str = "status") -> DataFrame:
+    """The status in German words; a status that has none is an error, a null stays null."""
     names = F.create_map(*[F.lit(x) for kv in S.GERMAN.items() for x in kv])
-    return df.withColumn(column, F.coalesce(F.try_element_at(names, F.col(column)), F.col(column)))
+    unknown = F.raise_error(F.concat(F.lit("unknown status: "), F.col(column))).cast("string")
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce(F.try_element_at(names, F.col(column)), unknown)))
 
 
 def blank_repeats(df: DataFrame, column: str, *order: str, by: str = "pair_id") -> DataFrame:

@@ -192,3 +192,10 @@ def test_inbox_streams_new_files(spark, tmp_path):
     q = inbox.inbox(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("inbox_pages").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert {(r.page, r.text) for r in spark.table("inbox_pages").collect()} == {(1, "eins"), (2, "zwei")}
+
+
+def test_unknown_status_is_an_error(spark):
+    known = spark.createDataFrame([("OK",), (None,)], "status string")
+    assert sinks.german_status(known).count() == 2
+    with pytest.raises(Exception, match="unknown status: ODD"):
+        sinks.german_status(spark.createDataFrame([("ODD",)], "status string")).collect()
