@@ -17,4 +17,5 @@ COMPLIANT, PARTIAL, NOT_COMPLIANT, NOT_ASSESSABLE, NOT_APPLICABLE = "COMPLIANT",
 #: The status words of the German reports.
 GERMAN = {
     OK: "OK", DEVIATION: "ABWEICHUNG", ONLY_CURRENT: "NUR_AKTUELL", ONLY_PRIOR: "NUR_VORJAHR", MISSING_VALUE: "FEHLENDER_WERT",
-    NO_VOUCHER: "KEIN_BELEG", NO_VALUE: "KEIN_WERT", NOTE: "HINWEIS", SAME: "IDENT", CHANGED: "GEÄNDERT", NEW: "NEU", MISSING: "FEHLT"}
+    NO_VOUCHER: "KEIN_BELEG", NO_VALUE: "KEIN_WERT", NOTE: "HINWEIS", SAME: "IDENT", CHANGED: "GEÄNDERT", NEW: "NEU", MISSING: "FEHLT",
+    COMPLIANT: "ENTSPRICHT", PARTIAL: "TEILWEISE ENTSPRECHEND", NOT_COMPLIANT: "NICHT ENTSPRECHEND", NOT_ASSESSABLE: "NICHT BEURTEILBAR", NOT_APPLICABLE: "NICHT ANWENDBAR"}
