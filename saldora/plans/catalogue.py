@@ -599,3 +599,61 @@ def recognised_sources(spark, sf_dir):
 def german_words(spark, sf_dir):
     s = F.when(F.col("o_orderstatus") == "F", S.OK).when(F.col("o_orderstatus") == "O", S.DEVIATION)
     return sinks.german_status(table(spark, sf_dir, "orders").select("o_orderkey", s.alias("status")))
+
+
+_SHOWN = "replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '~'), '.', ','), '~', '.')"
+
+
+@query(f"""SELECT o_orderkey, 'EUR ' || {_SHOWN} AS first, round(o_totalprice, 2) AS first_value, o_orderkey || ' TEUR' AS second, o_orderkey::DOUBLE AS second_value, 3 AS n FROM orders""")
+def amounts(spark, sf_dir):
+    text = F.concat(F.lit("Summe EUR "), T.german_number(F.col("o_totalprice")), F.lit(" und "), "o_orderkey", F.lit(" TEUR, siehe oben"))
+    a = table(spark, sf_dir, "orders").select("o_orderkey", T.amounts(text).alias("a"))
+    at = lambda k, f: F.get("a", k)[f]
+    return a.select("o_orderkey", at(0, "original").alias("first"), at(0, "value").alias("first_value"), at(1, "original").alias("second"), at(1, "value").alias("second_value"), F.size("a").alias("n"))
+
+
+@query("""SELECT o_orderkey, 'Kopf' || chr(10) || 'Bestellnummer ' || o_orderkey || chr(10) || 'Ende' AS text FROM orders""")
+def cleaned_text(spark, sf_dir):
+    text = F.concat(F.lit("Kopf\n Seite 3 von 9\nBestell-\nnummer \t "), "o_orderkey", F.lit("\n - 12 -\n  Ende "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.cleaned(text).alias("text"))
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    """A finding for each labelled document."""
+    s = F.when(F.col("toxic") == 1, S.NOT_APPLICABLE).when(F.col("quality") == 1, S.NOT_ASSESSABLE).otherwise(S.NOT_COMPLIANT)
+    why = F.when((F.col("toxic") == 1) & (F.col("doc_id") % 2 == 0), checklist.MACHINE).when(F.col("toxic") == 1, "law").when(F.col("doc_id") % 3 == 0, checklist.FOUND).otherwise(checklist.NO_HINT)
+    return table(spark, sf_dir, "labels").select((F.col("doc_id") % 10).alias("doc_id"), (F.col("doc_id") % 70).cast("string").alias("category"), s.alias("status"), why.alias("reason"))
+
+
+@query("""SELECT doc_id % 10 AS doc_id, count(*) FILTER (toxic <> 1 AND quality = 1 AND doc_id % 3 = 0) AS to_confirm, count(*) FILTER (toxic <> 1 AND quality = 1 AND doc_id % 3 <> 0) AS no_hint,
+    count(*) FILTER (toxic <> 1 AND quality <> 1) AS missing, count(*) FILTER (toxic = 1) AS not_applicable, count(*) AS total FROM labels GROUP BY 1""")
+def open_summary(spark, sf_dir):
+    return checklist.open_summary(_judged(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT doc_id % 10 AS d, (doc_id % 70)::VARCHAR AS category FROM labels GROUP BY 1, 2 HAVING bool_and(toxic = 1)), e AS (SELECT d, string_agg(category, ',' ORDER BY category) AS names FROM c GROUP BY d)
+    SELECT doc_id % 10 AS doc_id, count(*) FILTER (toxic <> 1) AS applicable, count(*) FILTER (toxic = 1) AS not_applicable, count(*) FILTER (toxic = 1 AND doc_id % 2 <> 0) AS by_law,
+    count(*) FILTER (toxic = 1 AND doc_id % 2 = 0) AS by_machine, coalesce(any_value(e.names), '') AS empty_categories FROM labels LEFT JOIN e ON e.d = doc_id % 10 GROUP BY 1""")
+def scope_summary(spark, sf_dir):
+    return checklist.scope_summary(_judged(spark, sf_dir)).withColumn("empty_categories", F.array_join("empty_categories", ","))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem GROUP BY l_orderkey),
+    s AS (SELECT o_orderkey, CASE WHEN f.k IS NULL THEN 'KEIN_BELEG' WHEN abs(o_totalprice - f.v) <= 1000 THEN 'OK' ELSE 'ABWEICHUNG' END AS status FROM orders LEFT JOIN f ON f.k = o_orderkey)
+    SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, status, count(*) AS n FROM s GROUP BY 1, 2""")
+def voucher_overview(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    none = F.lit(None).cast("int").alias("page")
+    pos = o.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("Arbeitnehmer").alias("section"), F.lit("x").alias("label"), F.col("o_totalprice").alias("current_value"), none, F.lit("").alias("note"))
+    facts = li.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("hr_employees").alias("source_type"), F.lit("line").alias("label"), F.col("l_extendedprice").alias("value"), F.lit("f").alias("filename"))
+    return sinks.voucher_sheets(vouch.check(pos, facts, tolerance=1000.0))["overview"]
+
+
+@query(values("item_id, section_no, title, quote, rank", [
+    ("q1", 1, "Rückstellungen", "Rückstellungen nach § 9 gebildet", 1), ("q1", 1, "Rückstellungen", "Rückstellungen nach § 9 gebildet Ende", 2),
+    ("q2", 2, "Sonstiges", "Die Bewertung der Vorräte folgt den Kosten der Anschaffung.", 1)]))
+def section_evidence(spark, sf_dir):
+    sec = frame(spark, "doc_id string, section_no int, title string, content string", [
+        ("d", 1, "Rückstellungen", "Rückstellungen\nnach § 9 gebildet\nEnde"), ("d", 2, "Sonstiges", "Ein anderer Absatz.\n\nDie Bewertung der\nVorräte folgt den Kosten der Anschaffung.")])
+    ask = frame(spark, "item_id string, keywords array<string>, references array<string>", [("q1", ["rückstellungen"], ["§ 9"]), ("q2", ["der\nvorräte"], [])])
+    return checklist.section_evidence(checklist.match_sections(ask, sec), ask, sec).select("item_id", "section_no", "title", "quote", "rank")

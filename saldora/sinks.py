@@ -19,10 +19,16 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str, fmt: str = "parquet"
 def yoy_sheets(rows: DataFrame, text_rows: DataFrame) -> dict[str, DataFrame]:
     pick = lambda df, s: df.where(F.col("status") == s)
     return {
-        "all": rows, "deviations": pick(rows, S.DEVIATION), "only_current": pick(rows, S.ONLY_CURRENT), "only_prior": pick(rows, S.ONLY_PRIOR),
+        "overview": rows.groupBy("pair_id", "status").agg(F.count("*").alias("n")), "all": rows, "deviations": pick(rows, S.DEVIATION), "only_current": pick(rows, S.ONLY_CURRENT), "only_prior": pick(rows, S.ONLY_PRIOR),
         "text_new": pick(text_rows, S.NEW), "text_missing": pick(text_rows, S.MISSING), "text_changed": pick(text_rows, S.CHANGED)}
 
 
+def voucher_sheets(rows: DataFrame) -> dict[str, DataFrame]:
+    """rows of vouch.check(): an overview of counts by document and status, and all rows with the vouchers as text."""
+    shown = F.array_join(F.transform("vouchers", lambda v: F.concat_ws(": ", v["filename"], T.german_number(v["value"]))), "; ")
+    return {"overview": german_status(rows.groupBy("doc_id", "status").agg(F.count("*").alias("n"))), "detail": german_status(rows.withColumn("vouchers", shown))}
+
+
 def german_status(df: DataFrame, column: str = "status") -> DataFrame:
     """The status in German words; a status that has none is an error, a null stays null."""
     names = F.create_map(*[F.lit(x) for kv in S.GERMAN.items() for x in kv])
