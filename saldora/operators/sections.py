@@ -15,13 +15,16 @@ def heading_number(line: Column) -> Column:
     return line.rlike(r"(?U)^\s*(\d+(\.\d+)*\.?|[A-Z]\.|[IVX]+\.)\s+\p{Lu}\S+") & (F.length(line) <= 120)
 
 
-def detect_sections(documents: DataFrame, least: int = 50) -> DataFrame:
-    """doc_id, section_no, title, type, content: from each heading to the next. Sections under `least` characters are
-    left out but keep their number; a document without headings is one section."""
+def detect_sections(documents: DataFrame, least: int = 50, words: str = "|".join(p for _, p in TYPES)) -> DataFrame:
+    """doc_id, section_no, title, type, content: from each heading to the next. A heading is numbered or in capitals, or
+    holds one of the words (a pattern in lower case; none if empty). Sections under `least` characters are left out but
+    keep their number; a document without headings is one section."""
     rows = documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
     line = F.trim("line")
     caps = T.letters_of(line)
     head = heading_number(line) | ((F.length(caps) >= 4) & (caps == F.upper(caps)) & (F.length(line) <= 80))
+    if words:
+        head = head | F.lower(line).rlike(words)
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("head", head).withColumn("section_no", F.sum(F.col("head").cast("int")).over(w))
     by = rows.groupBy("doc_id", "section_no").agg(F.max(F.when(F.col("head"), line)).alias("title"), F.sort_array(F.collect_list(F.struct("n", "line"))).alias("l"), F.max("head").alias("headed"))

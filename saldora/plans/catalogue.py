@@ -237,10 +237,10 @@ def sentence_split(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
 
 
-@query(values("doc_id, section_no, title, type", [("a", 1, "1. Allgemeine Angaben", "GENERAL"), ("a", 3, "VERBINDLICHKEITEN", "LIABILITIES"), ("b", 0, None, "OTHER")]))
+@query(values("doc_id, section_no, title, type", [("a", 1, "1. Allgemeine Angaben", "GENERAL"), ("a", 3, "VERBINDLICHKEITEN", "LIABILITIES"), ("b", 0, None, "OTHER"), ("c", 1, "Hinweise zur Bewertung", "METHODS")]))
 def detected_sections(spark, sf_dir):
     long = "Text " * 12
-    docs = [("a", f"1. Allgemeine Angaben\n{long}\n2. Leer\nkurz\nVERBINDLICHKEITEN\n{long}"), ("b", "nur ein kurzer text")]
+    docs = [("a", f"1. Allgemeine Angaben\n{long}\n2. Leer\nkurz\nVERBINDLICHKEITEN\n{long}"), ("b", "nur ein kurzer text"), ("c", f"Vorwort\nHinweise zur Bewertung\n{long}")]
     return sections.detect_sections(frame(spark, "doc_id string, text string", docs)).select("doc_id", F.col("section_no"), "title", "type")
 
 
