@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from saldora import schemas as S
 from saldora import sinks
 from saldora.functions import text as T
-from saldora.operators import align, checklist, items, profiles, ranges, yoy
+from saldora.operators import align, checklist, items, profiles, ranges, vouch, yoy
 from saldora.sources import checklists, files
 
 ITEM = "pair_id string, item_ord long, label string, page int, current_values array<double>, prior_values array<double>, source_line string, double_row boolean"
@@ -199,3 +199,20 @@ def test_unknown_status_is_an_error(spark):
     assert [r.status for r in sinks.german_status(known).collect()] == ["OK", "TEILWEISE ENTSPRECHEND", None]
     with pytest.raises(Exception, match="unknown status: ODD"):
         sinks.german_status(spark.createDataFrame([("ODD",)], "status string")).collect()
+
+
+def test_voucher_sheets_show_the_vouchers(spark):
+    pos = spark.createDataFrame([("d", "Arbeitnehmer", "x", 1234.5, 1, "")], "doc_id string, section string, label string, current_value double, page int, note string")
+    facts = spark.createDataFrame([("d", "hr_employees", "a", 1234.5, "f.xlsx")], "doc_id string, source_type string, label string, value double, filename string")
+    sheets = sinks.voucher_sheets(vouch.check(pos, facts))
+    assert [(r.status, r.vouchers) for r in sheets["detail"].collect()] == [("OK", "f.xlsx: 1.234,50")]
+    assert [(r.doc_id, r.status, r.n) for r in sheets["overview"].collect()] == [("d", "OK", 1)]
+
+
+def test_scope_takes_the_company_before_the_topics(spark):
+    s = "doc_id string, item_id string, category string, description string, keywords array<string>, applicable_to array<string>, size_classes array<string>, relevant boolean, legal_form string, size_class string, text string, status string, reason string"
+    row = lambda i, c, to: ("d", i, c, "Gibt es Angaben?", [], to, [], True, "gmbh", "mittel", "nichts davon", S.NOT_ASSESSABLE, "")
+    triggers = spark.createDataFrame([("vorräte", ["handelswaren"])], "key string, words array<string>")
+    got = checklist.scope(spark.createDataFrame([row("a", "Vorräte", ["klein"]), row("b", "Vorräte", []), row("c", "Anderes", [])], s), triggers, [])
+    r = checklist.scope_summary(got).collect()[0]
+    assert (r.by_law, r.by_machine, r.applicable, r.empty_categories) == (1, 1, 1, ["Vorräte"])
