@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from saldora.llm.common import documents
 from saldora.llm.dedup import exact_dedup
+from saldora.llm.divergence import divergence
 from saldora.llm.id_files import id_files
 from saldora.llm.jaccard import jaccard_groups
 from saldora.llm.langid import identify
@@ -13,7 +14,9 @@ from saldora.llm.mixing import mix
 from saldora.llm.nbest import segmented
 from saldora.llm.pseudo_likelihood import pseudo_likelihood
 from saldora.llm.quality import assess
+from saldora.llm.ranked_search import search
 from saldora.llm.secrets import secret_spans
+from saldora.llm.substring_dedup import substring_dedup
 from saldora.llm.token_counts import token_counts
 
 #: Folder of the public tokenizers' files on every machine; see tokenizer().
@@ -70,7 +73,23 @@ def op10_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_pseudo_likelihood, op4_jaccard_join, op5_secret_spans, op6_language_id, op7_token_counts, op8_id_files, op9_nbest_pieces, op10_exact_dedup)}
+def op11_substring_dedup(spark, sf_dir):
+    return substring_dedup(documents(spark, sf_dir))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_quality_rules, op3_pseudo_likelihood, op4_jaccard_join, op5_secret_spans, op6_language_id, op7_token_counts,
+        op8_id_files, op9_nbest_pieces, op10_exact_dedup, op11_substring_dedup, op12_ranked_search, op13_source_divergence)}
 
 SQL = {
     "op10_exact_dedup": r"""
