@@ -25,15 +25,26 @@ def employees_rule(documents: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
-_COMPANY = r"(?U)([A-ZÄÖÜ][\w&.\-]*(?:\s+[A-ZÄÖÜ&][\w&.\-]*)*\s+(?:GmbH|AG|KG|Ltd|Inc|SE))"
+#: A run of capitalised words, taken whole: possessive, so that no repetition goes a call deeper or is tried again.
+_RUN = r"(?U)[A-ZÄÖÜ][\w&.\-]*+(?:\s++[A-ZÄÖÜ&][\w&.\-]*+)*+"
+#: Legal forms that end a company's name.
+_FORM = r"(?Us)^(.+\s(?:GmbH|AG|KG|Ltd|Inc|SE))"
 
 
 def participations(documents: DataFrame) -> DataFrame:
-    """doc_id, n, name, window: each company named and the text up to the next one, at most 500 characters."""
-    rows = documents.where(F.coalesce("text", F.lit("")).rlike(_COMPANY))
-    between = F.split("text", _COMPANY, -1)
-    rows = rows.select("doc_id", F.posexplode(F.zip_with(F.regexp_extract_all("text", F.lit(_COMPANY), F.lit(1)), F.slice(between, F.lit(2), F.size(between)), lambda a, b: F.struct(a.alias("name"), b.alias("rest")))).alias("n", "p"))
-    return rows.select("doc_id", "n", "p.name", F.left("p.rest", F.lit(500)).alias("window"))
+    """doc_id, n, name, window: each company named and the text up to the next one, at most 500 characters. A name is
+    a run of capitalised words up to the last legal form in it."""
+    text = F.coalesce("text", F.lit(""))
+    runs = documents.select("doc_id", F.split(text, _RUN, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)).alias("runs"))
+    runs = runs.select("doc_id", F.posexplode(F.zip_with("runs", F.slice("gaps", F.lit(2), F.size("runs")), lambda r, g: F.struct(r.alias("run"), g.alias("gap")))).alias("at", "x"))
+    name = F.regexp_extract("x.run", _FORM, 1)
+    rows = runs.select("doc_id", "at", F.nullif(name, F.lit("")).alias("name"), F.left(F.concat(F.substring("x.run", F.length(name) + 1, F.length("x.run")), "x.gap"), F.lit(500)).alias("rest"))
+    upto = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("n", (F.count("name").over(upto) - 1).cast("int")).where("n >= 0")
+    # A window is at most 500 characters, and every part holds one at least, so that 500 parts are enough of it.
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("at"))).where("k <= 501")
+    by = rows.groupBy("doc_id", "n").agg(F.max("name").alias("name"), F.sort_array(F.collect_list(F.struct("at", "rest"))).alias("parts"))
+    return by.select("doc_id", "n", "name", F.left(F.array_join(F.transform("parts", lambda p: p["rest"]), ""), F.lit(500)).alias("window"))
 
 
 def participation_elements(documents: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from saldora import schemas as S
 from saldora import sinks
 from saldora.functions import text as T
-from saldora.operators import align, checklist, items, profiles, ranges, vouch, yoy
+from saldora.operators import align, checklist, items, profiles, ranges, rules, vouch, yoy
 from saldora.sources import checklists, files
 
 ITEM = "pair_id string, item_ord long, label string, page int, current_values array<double>, prior_values array<double>, source_line string, double_row boolean"
@@ -216,3 +216,31 @@ def test_scope_takes_the_company_before_the_topics(spark):
     got = checklist.scope(spark.createDataFrame([row("a", "Vorräte", ["klein"]), row("b", "Vorräte", []), row("c", "Anderes", [])], s), triggers, [])
     r = checklist.scope_summary(got).collect()[0]
     assert (r.by_law, r.by_machine, r.applicable, r.empty_categories) == (1, 1, 1, ["Vorräte"])
+
+
+def test_long_lines_do_not_overflow(spark):
+    """Patterns with a repeated group would go a call deeper for each repetition."""
+    n = 100_000
+    line = lambda c, t: spark.createDataFrame([(t,)], "x string").select(c).first()[0]
+    many = "Posten " + "1.234,50 " * n
+    got = line(T.label_and_numbers(F.col("x")), many)
+    assert got["label"] == "Posten" and len(got["values"]) == n and got["values"][-1] == 1234.5
+    assert len(line(T.trailing_numbers(F.col("x")), many + "Ende 3,00")) == 1
+    assert line(T.without_units(F.col("x")), "Summe 5,00" + " EUR" * n + " ** ") == "Summe 5,00"
+    assert line(T.is_noise(F.col("x")), "EUR " * n) is True and line(T.is_pair_header(F.col("x")), "TEUR " * n) is True
+    assert line(T.repair_numbers(F.col("x")), "1" + ",234" * 5000 + ",56") == "1" + ".234" * 5000 + ",56"
+    docs = spark.createDataFrame([("a", "Wort " * n + "GmbH 5 %"), ("b", "Wort " * n)], "doc_id string, text string")
+    rows = rules.participations(docs).collect()
+    assert [(r.doc_id, len(r["name"]), r.window) for r in rows] == [("a", 5 * n + 4, " 5 %")]
+
+
+@pytest.mark.parametrize("text", [
+    "Muster Bau GmbH, Wien und Neue AG Holding KG hält 5 % sowie klein GmbH", "xAbc GmbH; AG Wien; Bau & Co KG", "Eins GmbH Zwei AGnes drei Vier", "keine", "Muster GmbH" * 3, "A B c D SE. Ende Ltd"])
+def test_participations_are_the_longest_runs(spark, text):
+    import re
+
+    pattern = re.compile(r"[A-ZÄÖÜ][\w&.\-]*(?:\s+[A-ZÄÖÜ&][\w&.\-]*)*\s+(?:GmbH|AG|KG|Ltd|Inc|SE)")
+    found = list(pattern.finditer(text))
+    want = [(k, m[0], text[m.end() : found[k + 1].start() if k + 1 < len(found) else None]) for k, m in enumerate(found)]
+    got = rules.participations(spark.createDataFrame([("d", text)], "doc_id string, text string")).orderBy("n").collect()
+    assert [(r.n, r["name"], r.window) for r in got] == want
