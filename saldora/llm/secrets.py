@@ -33,19 +33,18 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 RUN = 256
 WINDOW = 20
+#: Counts of a window's characters are at most WINDOW + 1 and take so many bits; so many of them make a long.
+BITS, FIELDS = 5, 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 #: Least entropy in bits a character of the best window, by class: the first class that holds all characters counts.
 CLASSES = ((r"^[0-9A-Fa-f]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.6), (r"^.*$", 3.9))
-#: A part of a path that is made of words, with a number behind; each can be read in one way only.
-STEP = r"(?:(?:[A-Z]{2,}|[A-Z]?[a-z]{2,})(?:[-_](?:[A-Z]{2,}|[A-Z]?[a-z]{2,})|[A-Z][a-z]{2,})*[-_]?[0-9]{0,4}|[A-Za-z][0-9]?)"
-#: Strings that look random but are known to be harmless.
+#: Strings that look random but are known to be harmless; see also worded(). No group is repeated in any pattern of this
+#: module: Java goes one call deeper for each repetition of a group, which ends in a stack overflow on long strings.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",  # UUID
     r"^[0-9=_+/-]+$",  # numbers, dates, rulers
     r"(?i)example|placeholder|changeme|your[_-]",  # documentation
-    rf"^/?(?:{STEP}/)+{STEP}?$",  # paths
-    r"^[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]?[0-9]{1,4}$",  # slugs and names with a number
 )
 #: Runs within a candidate that are judged by themselves: without = _ -, letters and digits, hex digits.
 PARTS = tuple(rf"[{c}]{{{WINDOW},}}" for c in ("A-Za-z0-9+/", "A-Za-z0-9", "0-9A-Fa-f"))
@@ -94,35 +93,54 @@ def blanked(text: Column, pattern: str, real=lambda m: F.lit(True)) -> Column:
 
 
 def best_entropy(found: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of any window characters in a row; found has at least that many."""
-    codes = F.transform(F.filter(F.split(found, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))  # 1-based
+    """The largest Shannon entropy, in bits, of any window characters in a row; found has at least that many.
+
+    The counts of the window's characters are kept in fields of BITS bits, FIELDS to a long."""
+    codes = F.transform(F.filter(F.split(found, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     table = F.array(*[F.expr(f"double({c} * coalesce(log2({c}), 0))") for c in range(window + 2)])
-    weigh = lambda c: F.element_at(table, c + 1)
-    bump = lambda counts, k, by: F.transform(counts, lambda c, i: F.when(i == k - 1, c + by).otherwise(c))
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
+    weigh = lambda c: F.get(table, c)
+    count = lambda n, c: F.call_function("shiftright", F.get(n, F.floor(c / FIELDS).cast("int")), (c % FIELDS) * BITS).bitwiseAND(F.lit(2**BITS - 1).cast("long")).cast("int")
+    one = F.array(*[F.lit(1 << (BITS * k)) for k in range(FIELDS)])
+    bump = lambda n, c, sign: F.transform(n, lambda x, i: F.when(i == F.floor(c / FIELDS), x + sign * F.get(one, c % FIELDS)).otherwise(x))
+    zero = F.struct(F.array(*[F.lit(0).cast("long")] * -(-len(ALPHABET) // FIELDS)).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
 
     def slide(acc, x):
-        c = F.element_at(acc["n"], x["enter"])
+        c = count(acc["n"], x["enter"])
         n1, s1 = bump(acc["n"], x["enter"], 1), acc["s"] + weigh(c + 1) - weigh(c)
         return F.struct(n1.alias("n"), s1.alias("s"), acc["low"].alias("low"))
 
     def out(acc, x):
-        d, full = F.element_at(acc["n"], x["leave"]), x["i"] >= window
+        d, full = count(acc["n"], x["leave"]), x["i"] >= window
         n2 = F.when(full, bump(acc["n"], x["leave"], -1)).otherwise(acc["n"])
         s2 = F.when(full, acc["s"] + weigh(d - 1) - weigh(d)).otherwise(acc["s"])
         return F.struct(n2.alias("n"), s2.alias("s"), F.when(x["i"] >= window - 1, F.least(acc["low"], s2)).otherwise(acc["low"]).alias("low"))
 
     def least(c):
-        leave = lambda i: F.when(i >= window, F.element_at(c, i - window + 1)).otherwise(1)
+        leave = lambda i: F.when(i >= window, F.get(c, i - window)).otherwise(0)
         steps = F.transform(c, lambda e, i: F.struct(e.alias("enter"), leave(i).alias("leave"), i.alias("i")))
-        return F.aggregate(steps, zero, lambda acc, x: out(slide(acc, x), x), lambda acc: acc["low"])
+        return F.aggregate(steps, zero, lambda acc, x: let(slide(acc, x), lambda a: out(a, x)), lambda acc: acc["low"])
 
     # H = log2(window) - sum(c * log2(c)) / window: the best window has the least sum.
     return F.log2(F.lit(float(window))) - let(codes, least) / window
 
 
+def worded(found: Column) -> Column:
+    """Whether found is a path made of words, or a slug or name with a number behind. A step of a path is a letter with
+    or without a digit, or words (in capitals, in small letters, with or without a capital, or camel case), joined by
+    single dashes, with up to four digits behind. Letters are first written as marks: ',' for a capital and small
+    letters, then ';' for a whole word; what is left has a form that classes of characters can tell."""
+    single = F.regexp_replace(found, r"(?<=^|/)[A-Za-z][0-9]?(?=/|$)", ";")
+    camel = F.regexp_replace(single, "[A-Z][a-z]{2,}", ",")
+    marks = F.regexp_replace(camel, "[A-Z]{2,},*|[a-z]{2,},*|,+", ";")
+    is_path = lambda m: (
+        m.rlike("^[;_/0-9-]+$") & m.rlike("^/?[^/]+/") & ~m.rlike(";;|[-_]{2}|//") & ~F.regexp_replace(m, "^/|/$", "").rlike("(?:^|/)[^;]")
+        & ~m.rlike("[0-9][^0-9/]") & ~m.rlike("[0-9]{5}"))
+    slug = found.rlike("^[A-Za-z][A-Za-z_-]*[0-9]{1,4}$") & ~found.rlike("[-_]{2}")
+    return slug | (F.contains(found, F.lit("/")) & let(marks, is_path))
+
+
 def harmless(found: Column) -> Column:
-    return ~found.rlike("[0-9]") | ~found.rlike("[A-Za-z]") | reduce(lambda a, b: a | b, [found.rlike(p) for p in ALLOWED])
+    return worded(found) | ~found.rlike("[0-9]") | ~found.rlike("[A-Za-z]") | reduce(lambda a, b: a | b, [found.rlike(p) for p in ALLOWED])
 
 
 def reaches(found: Column) -> Column:

@@ -7,6 +7,7 @@ import time
 import unicodedata
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from saldora.llm import quality, secrets
@@ -169,3 +170,28 @@ def test_many_matches_and_a_long_run(spark):
     assert time.time() - began < 60
     assert got[1].n_hex == 100_000 and got[1].spans.endswith(f"hex:{99_999 * 17}:{99_999 * 17 + 16}")
     assert got[2].spans == "entropy:0:300000" and got[3].n_assign == 20_000
+
+
+#: What worded() must say, as one pattern; Java would overflow its stack on it, Python does not.
+STEP = r"(?:(?:[A-Z]{2,}|[A-Z]?[a-z]{2,})(?:[-_](?:[A-Z]{2,}|[A-Z]?[a-z]{2,})|[A-Z][a-z]{2,})*[-_]?[0-9]{0,4}|[A-Za-z][0-9]?)"
+WORDED = (rf"^/?(?:{STEP}/)+{STEP}?$", r"^[A-Za-z]+(?:[-_][A-Za-z]+)*[-_]?[0-9]{1,4}$")
+
+
+def test_worded_is_the_pattern(spark):
+    import random
+
+    rnd = random.Random(3)
+    parts = ["ab", "Abc", "ABC", "a", "B", "/", "/", "-", "_", "12", "7", "12345", "abcDef", "ABCdef", "Ab", "aB", "=", "+", "--", "v2", "//"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 9))) for _ in range(6000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.worded(F.col("t")).alias("w")).collect()
+    wrong = [r.t for r in got if r.w != any(re.match(p, r.t) for p in WORDED)]
+    assert not wrong, wrong[:20]
+    assert sum(r.w for r in got) > 150
+
+
+@pytest.mark.parametrize("text", [
+    "ab-" * 340_000 + "12", "abc/" * 260_000 + "x9", "AbcDef" * 170_000 + "7", ("ab-" + "abc/" + "AbcDef") * 80_000 + "3", "Ab/-" * 25_000 + "12", "a1_" * 34_000, "/" * 100_000 + "7a"],
+    ids=["slug", "path", "camel", "mixed", "broken", "digits", "slashes"])
+def test_a_megabyte_without_blanks(spark, text):
+    got = secrets.secret_spans(spark.createDataFrame([(1, "see " + text + " there"), (2, None)], "doc_id long, text string")).collect()
+    assert len(got) == 2 and all(r.n_assign == r.n_access == 0 for r in got)
