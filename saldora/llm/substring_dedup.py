@@ -34,28 +34,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldora.llm.common import give_back, new_path, stash, tool
+from saldora.llm.common import new_path, stash
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
+COVERED = np.isin(np.arange(PERIOD), COVER)
 ANCHOR = WINDOW - PERIOD + 1
 REACH = WINDOW - ANCHOR  # words on either side of an anchor that a window over it can hold
 MB = 2**20
+LEAST_BUCKETS = 32
 LAST = np.iinfo(np.int64).max
 ASKS = "chunk long, bucket long, asked binary"
 REPLIES = "chunk long, round int, bucket long, bits binary"
 
 
-class WordKeys(dict):
-    """64-bit keys of words, kept while there is room."""
-
-    ROOM = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.ROOM:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word)
-        return key
+LONG = 64
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: What is kept of a little-endian 8-byte block of which only the first k bytes belong to the word.
+KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all words of the texts, and how many each text has. A key is made of the word's 8-byte blocks;
+    words of over LONG bytes are hashed one by one."""
+    joined = b" ".join([*texts, b" " * 8])
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size + 1)))
+    inside = ~BLANK[np.frombuffer(joined, np.uint8)]
+    change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        change = np.concatenate(([0], change))
+    start, length = change[::2], change[1::2] - change[::2]
+    blocks = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    key = paired(blocks[start] & KEEP[np.minimum(length, 8)], length.astype(np.uint64), 0)
+    rest = np.flatnonzero((length > 8) & (length <= LONG))
+    for k in range(8, LONG, 8):
+        if not len(rest):
+            break
+        key[rest] = paired(key[rest], blocks[start[rest] + k] & KEEP[np.minimum(length[rest] - k, 8)], 0)
+        rest = rest[length[rest] > k + 8]
+    for i in np.flatnonzero(length > LONG).tolist():
+        key[i] = xxhash.xxh3_64_intdigest(joined[start[i] : start[i] + length[i]])
+    return key, np.diff(np.searchsorted(start, begin))
 
 
 def paired(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
@@ -67,13 +87,18 @@ def paired(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def window_hashes(keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of ANCHOR (8), WINDOW (20) and WINDOW + REACH (32) keys from every place, by doubling."""
+def eights(keys: np.ndarray) -> np.ndarray:
+    """Hashes of ANCHOR (8) keys from every place, by doubling."""
     h, size = keys, 1
     while size < ANCHOR:
-        h, size = paired(h[:-size], h[size:], seed), 2 * size
-    anchor, h16 = h, paired(h[:-size], h[size:], seed)
-    return anchor, paired(h16[: -(WINDOW - 16)], h16[WINDOW - 16 :], seed), paired(h16[:-16], h16[16:], seed)
+        h, size = paired(h[:-size], h[size:], 0), 2 * size
+    return h
+
+
+def spans_of(h8: np.ndarray, at: np.ndarray, shifts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash, as two arrays, of what the anchors at these distances cover, from the places given."""
+    parts = [h8[at + k] for k in shifts]
+    return functools.reduce(lambda x, y: paired(x, y, 1), parts), functools.reduce(lambda x, y: paired(x, y, 2), parts)
 
 
 class Chunk:
@@ -81,41 +106,39 @@ class Chunk:
 
     def __init__(self, table: pa.Table):
         ids, texts = table.column("doc_id"), table.column("text").cast(pa.binary()).to_pylist()
-        self.null = np.asarray(ids.is_null().to_numpy())
+        null = np.asarray(ids.is_null().to_numpy())
         doc = ids.fill_null(LAST).to_numpy()
-        order = sorted(range(len(texts)), key=lambda i: (doc[i], self.null[i], texts[i]))
-        self.texts, self.doc, self.null = [texts[i] for i in order], doc[order], self.null[order]
-        known = tool(("substring_dedup",), WordKeys)
-        words = [t.split() for t in self.texts]
-        self.n = np.array([len(w) for w in words], np.int64)
+        order = sorted(range(len(texts)), key=lambda i: (doc[i], null[i], texts[i]))
+        self.doc, self.null = doc[order], null[order]
+        self.texts = [texts[i] for i in order]
+        keys, self.n = word_keys(self.texts)
         self.start = REACH + np.concatenate(([0], np.cumsum(self.n + REACH)))[:-1].astype(np.int64)
         self.size = int(REACH + np.sum(self.n + REACH))
         self.keys = np.zeros(self.size, np.uint64)
-        self.room = np.zeros(self.size, np.int64)  # words from here to the end of the document
-        self.owner = np.zeros(self.size, np.int32)
-        for k, (w, a, n) in enumerate(zip(words, self.start, self.n)):
-            if n >= WINDOW:
-                self.keys[a : a + n] = np.fromiter(map(known.__getitem__, w), np.uint64, n)
-                self.room[a : a + n] = np.arange(n, 0, -1)
-                self.owner[a : a + n] = k
+        self.room = np.zeros(self.size, np.int32)  # words from here to the end of the document, none in short ones
+        first = np.cumsum(self.n) - self.n
+        at = np.arange(len(keys)) + np.repeat(self.start - first, self.n)
+        self.keys[at] = keys
+        left = np.repeat(first + self.n, self.n) - np.arange(len(keys))
+        self.room[at] = np.where(np.repeat(self.n >= WINDOW, self.n), left, 0)
 
     @functools.cached_property
-    def lanes(self):
-        if self.size < WINDOW + REACH:
-            none = np.zeros(0, np.uint64)
-            return (none,) * 3, (none,) * 3
-        return window_hashes(self.keys, 0), window_hashes(self.keys, 1)
+    def h8(self) -> np.ndarray:
+        return eights(self.keys) if self.size > ANCHOR else np.zeros(0, np.uint64)
 
     @functools.cached_property
     def anchors(self) -> np.ndarray:
-        at = np.flatnonzero(self.room >= ANCHOR)
-        return at[np.isin(at % PERIOD, COVER)]
+        return np.flatnonzero((self.room >= ANCHOR) & np.resize(COVERED, self.size))
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        """The doc_ids of places."""
+        return self.doc[np.searchsorted(self.start, at, side="right") - 1]
 
     def near(self, flagged: np.ndarray) -> np.ndarray:
         """For every place: whether one of the flagged anchors lies in the window from there."""
         mark = np.zeros(self.size + PERIOD + 1, np.int32)
         mark[flagged + 1] = 1
-        run = np.cumsum(mark)
+        run = np.cumsum(mark, dtype=np.int32)
         return run[PERIOD : PERIOD + self.size] > run[: self.size]
 
 
@@ -134,11 +157,10 @@ class Rounds:
 
     def __init__(self, chunk: Chunk, replies: dict[int, np.ndarray]):
         self.chunk, self.replies = chunk, replies
-        (self.a8, self.a20, self.a32), (_, self.b20, self.b32) = chunk.lanes
 
     @functools.cached_property
     def anchors(self):
-        return np.unique(self.a8[self.chunk.anchors], return_inverse=True, return_counts=True)
+        return np.unique(self.chunk.h8[self.chunk.anchors], return_inverse=True, return_counts=True)
 
     @functools.cached_property
     def repeated(self) -> np.ndarray:
@@ -146,10 +168,13 @@ class Rounds:
         _, kind, count = self.anchors
         return self.chunk.anchors[((count > 1) | self.replies[1][: len(count)])[kind]]
 
+    @functools.cached_property
+    def reach_hashes(self):
+        return spans_of(self.chunk.h8, self.repeated - REACH, (0, 8, 16, 24))
+
     @functools.cached_property
     def reaches(self):
-        at = self.repeated - REACH
-        return first_of(self.a32[at], self.b32[at])
+        return first_of(*self.reach_hashes)
 
     @functools.cached_property
     def settled(self) -> np.ndarray:
@@ -164,9 +189,13 @@ class Rounds:
         """Places of windows that must be asked for by themselves."""
         return np.flatnonzero((self.chunk.room >= WINDOW) & self.chunk.near(self.repeated) & ~self.settled)
 
+    @functools.cached_property
+    def window_hashes(self):
+        return spans_of(self.chunk.h8, self.open, (0, 8, WINDOW - ANCHOR))
+
     @functools.cached_property
     def windows(self):
-        return first_of(self.a20[self.open], self.b20[self.open])
+        return first_of(*self.window_hashes)
 
     def removed(self) -> np.ndarray:
         """For every place: whether its word is covered by a window that starts earlier elsewhere."""
@@ -186,11 +215,9 @@ class Rounds:
         if number == 1:
             h = self.anchors[0]
             return h, h.view(np.uint8).reshape(-1, 8)[:, :6]
-        a, b = (self.a32, self.b32) if number == 2 else (self.a20, self.b20)
-        at = (self.repeated - REACH)[self.reaches[0]] if number == 2 else self.open[self.windows[0]]
-        owner = self.chunk.owner[at + REACH] if number == 2 else self.chunk.owner[at]
-        rows = np.stack((a[at], b[at], self.chunk.doc[owner].astype(np.uint64)), axis=1)
-        return a[at], np.ascontiguousarray(rows).view(np.uint8).reshape(-1, 24)
+        (a, b), (first, _), places = (self.reach_hashes, self.reaches, self.repeated) if number == 2 else (self.window_hashes, self.windows, self.open)
+        rows = np.stack((a[first], b[first], self.chunk.owner(places[first]).astype(np.uint64)), axis=1)
+        return a[first], np.ascontiguousarray(rows).view(np.uint8).reshape(-1, 24)
 
 
 def bits_of(replies: pa.Table | None) -> dict[int, np.ndarray]:
@@ -208,7 +235,6 @@ def asks_of(number: int, buckets: int, key: int, table: pa.Table, replies: pa.Ta
     bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
     asked = [rows[a:b].tobytes() for a, b in itertools.pairwise([*edge.tolist(), len(bucket)])]
-    give_back()
     return pa.table({"chunk": pa.array([key] * len(asked), pa.int64()), "bucket": bucket[edge].astype(np.int64), "asked": pa.array(asked, pa.binary())})
 
 
@@ -233,7 +259,6 @@ def answers_of(number: int, table: pa.Table) -> pa.Table:
     cuts = np.cumsum([0, *sizes])
     bits = [(j - i).to_bytes(4, "little") + np.packbits(yes[i:j]).tobytes() for i, j in itertools.pairwise(cuts.tolist())]
     out = pa.table({"chunk": chunk, "round": pa.array([number] * len(bits), pa.int32()), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
-    give_back()
     return out
 
 
@@ -242,10 +267,9 @@ def kept_of(table: pa.Table, replies: pa.Table) -> pa.Table:
     gone = Rounds(chunk, bits_of(replies)).removed()
     n_gone, kept = [], []
     for text, a, n in zip(chunk.texts, chunk.start.tolist(), chunk.n.tolist()):
-        drop = gone[a : a + n]
-        n_gone.append(int(drop.sum()))
-        kept.append(b" ".join(itertools.compress(text.split(), ~drop)).decode() if n_gone[-1] else b" ".join(text.split()).decode())
-    give_back()
+        words, drop = text.split(), gone[a : a + n]
+        n_gone.append(int(np.count_nonzero(drop)))
+        kept.append(b" ".join(itertools.compress(words, (~drop).tolist()) if n_gone[-1] else words).decode())
     return pa.table({"doc_id": pa.array(chunk.doc, pa.int64(), mask=chunk.null), "n_words": chunk.n, "n_removed": pa.array(n_gone, pa.int64()), "kept": pa.array(kept, pa.string())})
 
 
@@ -269,7 +293,8 @@ def deduplicated(docs: DataFrame, chunk_mb: int = 4, bucket_mb: int = 32) -> Dat
     chunk_size, bucket_size = min(64 * MB, max(chunk_mb * MB, total >> 16)), min(1024 * MB, max(bucket_mb * MB, total >> 14))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = min(100_000, max(least, total // (128 * MB) + 1))
-    chunks, buckets = max(4 * parts, total // chunk_size + 1), max(least, total // bucket_size + 1)
+    # A chunk gives a bucket one row a round, so that their product is kept small: it does not follow the partitions.
+    chunks, buckets = max(4 * parts, total // chunk_size + 1), max(LEAST_BUCKETS, total // bucket_size + 1)
     table = dealt(docs, parts, chunks)
 
     # Spark tells a function's kind by the number of its arguments.
