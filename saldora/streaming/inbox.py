@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldora.sources.files import pages
+from saldora.sources.files import simple_pages
 
 
 def inbox(spark: SparkSession, path: str, glob: str = "*", files_per_batch: int = 100) -> DataFrame:
-    """doc_id, page, text, error of every file that arrives."""
+    """doc_id, page, text, error of every file that arrives; PDF files, whose lines are put together from runs, come
+    through the data source "page_runs" and pdf.page_texts in foreachBatch()."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch)
-    return pages(stream.load(path))
+    return simple_pages(stream.load(path))
 
 
 def arrivals(pages_: DataFrame) -> DataFrame:
