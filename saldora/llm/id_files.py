@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldora.llm.common import by_bytes, new_path, tidy, tool
-from saldora.llm.pretokens import Numbers, byte_level, grown, runs
+from saldora.llm.pretokens import Numbers, byte_level, byte_symbols, grown, runs
 
 MAGIC = b"SPL1"
 CHUNK = 65_536
@@ -157,6 +157,7 @@ class Encoder:
         added = json.loads(self.tok.to_str())["added_tokens"]
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in added) + ")") if added else None
         self.names = {t["content"]: t["id"] for t in added}
+        self.symbols = dict(enumerate(byte_symbols()))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.numbers = Numbers(self._learn, self._keep, cache)
@@ -167,10 +168,9 @@ class Encoder:
         self.begin = np.cumsum(self.size) - self.size
 
     def _learn(self, words: list[str], n: int) -> None:
-        special = {k: w for k, w in enumerate(words) if w in self.names}
-        ids = [x.ids for x in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        for k, w in special.items():
-            ids[k] = [self.names[w]]
+        # Pre-tokens go straight to the model, in the characters that stand for their bytes.
+        tokenize, names = self.tok.model.tokenize, self.names
+        ids = [[names[w]] if w in names else [t.id for t in tokenize(w.encode().decode("latin-1").translate(self.symbols))] for w in words]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lens.sum())
         self.begin, self.size = grown(self.begin, n + len(words)), grown(self.size, n + len(words))

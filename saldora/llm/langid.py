@@ -35,7 +35,7 @@ LONG = 48
 PART = 8192
 SCALE = 16.0
 CACHE, FEW = 150_000, 4_000
-SLICE = 256
+SLICE = 4 << 20
 MARK = "▁"
 
 
@@ -226,7 +226,7 @@ def learn(docs: DataFrame, vocab_path: str, sample: int = SAMPLE) -> tuple[list[
     def words(batches):
         find = letters()
         for batch in batches:
-            rows = [(lang, w) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in find((text or "").lower()) if len(w) <= LONG]
+            rows = [(lang, w[i : i + LONG]) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in find((text or "").lower()) for i in range(0, len(w), LONG)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["lang", "word"])
 
     table = chosen.select("lang", "text").mapInArrow(words, "lang string, word string").groupBy("lang", "word").count().toArrow()
@@ -250,8 +250,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: st
     def run(batches):
         tool = tool_of()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
+            for part in common.by_bytes(batch, 2, SLICE):
                 langs, scores = tool.predict(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -272,8 +271,7 @@ def known_language(docs: DataFrame, vocab_path: str, least: float = 0.5) -> Data
     def run(batches):
         tool = tool_of()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
+            for part in common.by_bytes(batch, at, SLICE):
                 langs, scores = tool.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 

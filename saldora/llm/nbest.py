@@ -39,7 +39,7 @@ from saldora.llm.pretokens import Numbers, grown, runs
 N = 3
 SHIFT = 100
 CACHE, SEARCHED = 200_000, 20_000
-SLICE = 256
+SLICE, TEXTS = 256, 4 << 20
 MARK = "▁"
 #: What a character outside the vocabulary costs below the worst piece.
 PENALTY = 10.0
@@ -322,8 +322,7 @@ def segmented(docs: DataFrame, model: str, n: int = N) -> DataFrame:
     def run(batches):
         tool = common.tool((__name__, model, n), lambda: Encoder(model, n))
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
+            for part in common.by_bytes(batch, 1, TEXTS):
                 texts = part.column(1).to_pylist()
                 lens, flat, scores, edits = tool.encode(texts)
                 ends = np.concatenate(([0], np.cumsum(lens)))

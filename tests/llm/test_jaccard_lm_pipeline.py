@@ -230,3 +230,21 @@ def test_pipeline_runs_on_an_empty_table(spark, empty, tmp_path):
 def test_every_operator_has_a_query():
     assert {re.match(r"op(\d+)_", k)[1] for k in queries.QUERIES} == {str(k) for k in range(1, 11)}
     assert mixing.WEIGHTS == (5, 2, 1) and nbest.N >= 2
+
+
+def test_most_frequent_words_from_histograms(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from saldora.llm import pseudo_likelihood as lm
+
+    rnd = random.Random(4)
+    rows = [(f"w{k}", rnd.choice((1, 1, 1, 2, 3, 7, 8, 9, 100, 4095, 4096, 70_000, 5 * 10**9))) for k in range(900)]
+    counts = spark.createDataFrame(rows, "word string, n long").repartition(3)
+    for most in (1, 10, 100, 500, 899, 900, 5000):
+        n, cut = lm.most_frequent(counts, most)
+        got = counts.where((F.col("n") > n) | ((F.col("n") == n) & (lm.bucket_of("word") < cut))).collect()
+        left = sorted((r[1] for r in rows), reverse=True)[len(got):]
+        assert len(got) <= most and (not got or not left or min(r.n for r in got) >= left[0])
+        assert len(got) > most - 30 or len(got) == 900
