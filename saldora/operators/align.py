@@ -98,10 +98,25 @@ def greedy(edges: DataFrame) -> DataFrame:
     return taken
 
 
+def same_words(cur: DataFrame, pri: DataFrame) -> DataFrame:
+    """pair_id, i, j, r: pairs of a ratio of 1, which are those with the same words, each as often, in any order. They
+    come first in greedy()'s order, where of equal ones the k-th meets the k-th: an equi-join, no similarity."""
+    def side(x: DataFrame, ord_: str) -> DataFrame:
+        norm = x.select("pair_id", F.col("par_ord").alias(ord_), T.normalise_prose(F.col("text")).alias("n")).where("n <> ''")
+        key = norm.select("pair_id", ord_, F.sha2(F.array_join(F.sort_array(F.split("n", " ")), " "), 256).alias("words"))
+        return key.withColumn("k", F.row_number().over(Window.partitionBy("pair_id", "words").orderBy(ord_)))
+
+    return side(cur, "i").join(side(pri, "j"), ["pair_id", "words", "k"]).select("pair_id", "i", "j", F.lit(1.0).alias("r"))
+
+
 def align(cur: DataFrame, pri: DataFrame) -> DataFrame:
-    """Rows of pair_id, current, prior, status, page_current, page_prior; cur, pri: pair_id, par_ord, text, page."""
-    scored = candidates(cur, pri).where(F.col("r") >= PAIR)
-    pairs = greedy(scored)
+    """Rows of pair_id, current, prior, status, page_current, page_prior; cur, pri: pair_id, par_ord, text, page.
+
+    Paragraphs of the same words are paired first; only what is left of a pair of documents is compared."""
+    first = cut(same_words(cur, pri))
+    left = lambda x, key: x.join(first.select("pair_id", F.col(key).alias("par_ord")), ["pair_id", "par_ord"], "left_anti")
+    scored = candidates(left(cur, "i"), left(pri, "j")).where(F.col("r") >= PAIR)
+    pairs = cut(first.unionByName(greedy(scored)))
     c = cur.select("pair_id", F.col("par_ord").alias("i"), F.col("text").alias("current"), F.col("page").alias("page_current"))
     p = pri.select("pair_id", F.col("par_ord").alias("j"), F.col("text").alias("prior"), F.col("page").alias("page_prior"))
     matched = pairs.join(c, ["pair_id", "i"]).join(p, ["pair_id", "j"]).withColumn("status", F.when(F.col("r") >= EQUAL, S.SAME).otherwise(S.CHANGED))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saldora.functions.patterns import found_in
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -39,7 +41,8 @@ class Registry:
 
 
 def pick(clients: DataFrame, registry: DataFrame, default: str = "standard") -> DataFrame:
-    """client, profile: clients(client) against the few keys of a registry (key, profile), which is broadcast."""
-    hits = clients.join(F.broadcast(registry), F.contains(F.lower("client"), F.col("key")), "left")
-    w = Window.partitionBy("client").orderBy(F.length("key").desc_nulls_last(), F.desc("key"))
-    return hits.withColumn("r", F.row_number().over(w)).where("r = 1").select("client", F.coalesce("profile", F.lit(default)).alias("profile"))
+    """client, profile: the profile of the longest key (key, profile of a registry) in the client's name."""
+    names = clients.select("client").distinct()
+    hits = found_in(names.withColumn("low", F.lower("client")), ["client"], "low", registry.select(F.col("key").alias("pattern")))
+    best = hits.join(registry.withColumnRenamed("key", "pattern"), "pattern").groupBy("client").agg(F.max(F.struct(F.length("pattern"), "pattern", "profile")).alias("b"))
+    return names.join(best, "client", "left").select("client", F.coalesce("b.profile", F.lit(default)).alias("profile"))

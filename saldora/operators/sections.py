@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saldora.functions import text as T
 
 #: Section types by words of their title, the first that fits.
 TYPES = (("PARTICIPATIONS", "beteiligung|anteilsbesitz"), ("EMPLOYEES", "arbeitnehmer|personal"), ("LIABILITIES", "verbindlichkeit"), ("PROVISIONS", "rückstellung"), ("RECEIVABLES", "forderung"), ("ASSETS", "anlagevermögen|sachanlagen"), ("METHODS", "bilanzierung|bewertung"), ("GENERAL", "allgemein"))
 
 
-def heading_number(line: Column) -> Column:
-    return line.rlike(r"(?U)^\s*(\d+(\.\d+)*\.?|[A-Z]\.|[IVX]+\.)\s+\p{Lu}\S+") & (F.length(line) <= 120)
+def is_numbered(line: Column) -> Column:
+    """A heading with a number: Roman, decimal with a point behind, or a letter with a point or bracket."""
+    return line.rlike(r"(?U)^(?:[IVXLC]+\.|[0-9]+(?:\.[0-9]+)*+\.|[A-Za-z][.)])\s+\S")
+
+
+def is_capitals(line: Column) -> Column:
+    return line.rlike(r"(?U)^[A-ZÄÖÜ][A-ZÄÖÜ\s]{5,}$")
 
 
 def detect_sections(documents: DataFrame, least: int = 50, words: str = "|".join(p for _, p in TYPES)) -> DataFrame:
@@ -20,9 +24,8 @@ def detect_sections(documents: DataFrame, least: int = 50, words: str = "|".join
     holds one of the words (a pattern in lower case; none if empty). Sections under `least` characters are left out but
     keep their number; a document without headings is one section."""
     rows = documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
-    line = F.trim("line")
-    caps = T.letters_of(line)
-    head = heading_number(line) | ((F.length(caps) >= 4) & (caps == F.upper(caps)) & (F.length(line) <= 80))
+    line = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    head = is_numbered(line) | is_capitals(line)
     if words:
         head = head | F.lower(line).rlike(words)
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,18 +1,18 @@
 """Year over year: every opening value must be last year's closing value.
 
 Many pairs of statements are compared in one job: pair_id is part of every key. Matches come from a cascade: equal
-keys, nearly equal keys, one key ending with the other, a value that occurs once. Everything but the last step is a
-join; the last depends on what earlier items used, and runs per pair over the few items still open.
+keys, nearly equal keys, one key ending with the other, a value that occurs once. All steps are joins; the last depends
+on what earlier items used and is done in rounds, in which all items decide that no open one before them can hinder.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldora import schemas as S
 from saldora.functions import text as T
+from saldora.functions.patterns import contained
 from saldora.functions.similarity import label_ratio
 from saldora.lineage import cut
 
@@ -95,16 +95,18 @@ def by_value(open_: DataFrame, pri: DataFrame, used: DataFrame) -> DataFrame:
     hits = o.join(p, ["pair_id", "mark"]).where(T.values_match(F.col("opening"), F.col("closing"))).select("pair_id", "cur_ord", "pri_ord", "key").distinct()
     hits = hits.join(used, ["pair_id", "key"], "left")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for c, rows in pdf.sort_values(["cur_ord", "pri_ord"]).groupby("cur_ord"):
-            free = rows[~rows.key.isin(taken) & (rows.used_at.isna() | (rows.used_at >= c))]
-            if len(free) == 1:
-                taken.add(free.key.iloc[0])
-                out.append((pdf.pair_id.iloc[0], c, free.pri_ord.iloc[0], BY_VALUE))
-        return pd.DataFrame(out, columns=["pair_id", "cur_ord", "pri_ord", "score"])
-
-    return hits.groupBy("pair_id").applyInPandas(walk, "pair_id string, cur_ord long, pri_ord long, score double")
+    hits = cut(hits.where(F.isnull("used_at") | (F.col("used_at") >= F.col("cur_ord"))).drop("used_at"))
+    taken = hits.limit(0).select("pair_id", "cur_ord", "pri_ord")
+    while hits.limit(1).count():
+        # An item decides once no earlier one that is still open shares a key with it; the first of a pair always can.
+        first = F.min("cur_ord").over(Window.partitionBy("pair_id", "key"))
+        item = Window.partitionBy("pair_id", "cur_ord")
+        rows = hits.withColumn("mine", first == F.col("cur_ord")).select("*", F.min("mine").over(item).alias("ready"), F.count("*").over(item).alias("n"))
+        rows = cut(rows)
+        won = rows.where("ready and n = 1").select("pair_id", "cur_ord", "pri_ord", "key")
+        taken = taken.unionByName(won.drop("key"))
+        hits = cut(rows.where("not ready").drop("mine", "ready", "n").join(won.select("pair_id", "key"), ["pair_id", "key"], "left_anti"))
+    return taken.withColumn("score", F.lit(BY_VALUE))
 
 
 def compare(current: DataFrame, prior: DataFrame, current_text: DataFrame | None = None, prior_text: DataFrame | None = None) -> DataFrame:
@@ -135,9 +137,11 @@ def compare(current: DataFrame, prior: DataFrame, current_text: DataFrame | None
     rows = rows.unionByName(only)
     for text, one_sided in ((prior_text, S.ONLY_CURRENT), (current_text, S.ONLY_PRIOR)):
         if text is not None:
-            rows = rows.join(text.select("pair_id", F.col("packed").alias("__t")), "pair_id", "left")
-            there = (F.col("status") == one_sided) & (F.length("key") >= LEAST_KEY) & F.contains("__t", F.col("key"))
-            rows = rows.where(~F.coalesce(there, F.lit(False))).drop("__t")
+            # Only keys of one-sided rows are looked for; rows meet the keys that were found, never a text.
+            rows = cut(rows)
+            asked = rows.where((F.col("status") == one_sided) & (F.length("key") >= LEAST_KEY)).select("pair_id", "key")
+            there = contained(text, "pair_id", "packed", asked).withColumn("status", F.lit(one_sided))
+            rows = rows.join(there, ["pair_id", "key", "status"], "left_anti")
     proven = F.max(F.col("status") == S.OK).over(Window.partitionBy("pair_id", "key"))
     rows = rows.withColumn("proven", proven).where(~((F.col("status") == S.DEVIATION) & F.col("proven")))
     return rows.select(
