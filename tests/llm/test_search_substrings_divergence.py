@@ -193,3 +193,11 @@ def test_divergence_edge_cases(spark, empty):
     got = divergence(one, least_docs=1)
     assert sorted(map(tuple, got.collect())) == want
     assert got.where(F.col("lang") == "").where("part = 'pair'").count() == 0
+
+
+@pytest.mark.parametrize("name", ["op11_substring_dedup", "op12_ranked_search", "op13_source_divergence"])
+def test_queries_equal_their_sql(spark, duck, sf_dir, name):
+    from compare import assert_same
+    from saldora.llm import queries
+
+    assert_same(queries.QUERIES[name](spark, sf_dir), duck.execute(queries.SQL[name]))
