@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from saldora import sinks
 from saldora.functions import text as T
 from saldora.lineage import cut
-from saldora.operators import align, checklist, items, ranges, reconcile, rules, sections, vouch, yoy
+from saldora.operators import align, checklist, items, profiles, ranges, reconcile, rules, sections, vouch, yoy
 from saldora.plans.catalogue import SQL, query, table
-from saldora.sources import checklists, files
+from saldora.sources import checklists, files, requirements
 
 DIGITS, LETTERS = "0123456789", "abcdefghij"
 
@@ -690,3 +690,30 @@ def amounts(spark, sf_dir):
     """All amounts in all documents."""
     a = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.amounts(F.coalesce("text", F.lit("")))).alias("a"))
     return a.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("a.value").alias("numbers"), F.max("a.value").alias("most"))
+
+
+# Requirements and profiles
+
+@query(r"""WITH q AS (SELECT CAST(item_id AS VARCHAR) AS item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS w FROM benchmark),
+    d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{10,}'))) AS w FROM documents)
+    SELECT doc_id, item_id, count(*) AS words FROM d JOIN q USING (w) GROUP BY doc_id, item_id""")
+def requirement_lookup(spark, sf_dir):
+    """Questions that the long words of a document lead to, through the index of keywords."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{10,}"), F.lit(0))))
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.lit("keyword").alias("kind"), words.alias("value"))
+    found = requirements.lookup(requirements.index(questions(spark, sf_dir).select("item_id", "keywords")), asked)
+    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("words"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'receivables' WHEN c_mktsegment = 'MACHINERY' THEN 'unknown' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'receivables' ELSE 'payables' END END AS source_type,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS lines FROM customer""")
+def profile_rules(spark, sf_dir):
+    """Two clients with rules of their own, for noise and for types of files, and the others with the standard's, in one plan."""
+    keys = profiles.Registry()
+    keys.add(profiles.Profile("building", ("building",), noise=("^Seite",), rules={"voucher_type": lambda text: F.lit("receivables")}))
+    keys.add(profiles.Profile("machinery", ("machinery",), rules={"voucher_type": lambda text: F.lit("unknown"), "noise": lambda line: F.contains(line, F.lit("nie"))}))
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "client")
+    rows = c.join(profiles.pick(c.select("client"), keys.frame(spark)), "client")
+    rows = rows.withColumn("text", F.concat(F.when(F.col("c_custkey") % 2 == 0, "Forderung").otherwise("Verbindlichkeit"), F.lit("\nSeite 1")))
+    typed = profiles.voucher_types(profiles.without_noise(rows, keys), keys, vouch.voucher_type)
+    return typed.select("c_custkey", "source_type", F.size(F.filter(F.split("text", "\n", -1), lambda x: x != "")).alias("lines"))
