@@ -12,7 +12,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         given = sc.getConf().get("spark.checkpoint.dir", None)
-        if given is None and not sc.master.startswith("local"):
+        if given is None and sc.master != "local" and not sc.master.startswith("local["):  # executors of local-cluster are apart
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.gettempdir() + "/saldora")
     return df.checkpoint()
