@@ -92,3 +92,38 @@ def protocol(findings: DataFrame, top: int = 200) -> str:
 
 def critical(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("status").isin(S.NOT_COMPLIANT, S.NOT_ASSESSABLE))
+
+
+ELEMENTS = ("share", "seat", "equity", "result")
+
+
+def participation_table(elements: DataFrame) -> DataFrame:
+    """doc_id, n, name and a column for each element that is to be said of a participation (rules.participation_elements)."""
+    return elements.groupBy("doc_id", "n", "name").pivot("element", list(ELEMENTS)).agg(F.first("state"))
+
+
+def missing_elements(elements: DataFrame) -> DataFrame:
+    """doc_id, element, names: for which participations an element is not said."""
+    rows = elements.where(F.col("state") != "PRESENT").groupBy("doc_id", "element")
+    return rows.agg(F.transform(F.array_sort(F.collect_set(F.struct("n", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def participation_markdown(elements: DataFrame, statuses: DataFrame, doc_id: str, top: int = 50) -> str:
+    """The finding on one document's participations as Markdown; at most `top` participations are collected."""
+    said = statuses.where(F.col("doc_id") == doc_id).select("status").first()
+    rows = participation_table(elements.where(F.col("doc_id") == doc_id)).orderBy("n").limit(top + 1).collect()
+    mark = lambda state: "yes" if state == "PRESENT" else "no"
+    out = ["# Participations", "", f"Status: {said['status'] if said else S.NOT_ASSESSABLE}", ""]
+    if not rows:
+        return "\n".join([*out, "No participation is named."]) + "\n"
+    out += [f"| name | {' | '.join(ELEMENTS)} |", "| --- |" + " --- |" * len(ELEMENTS)]
+    out += [f"| {r['name']} | {' | '.join(mark(r[e]) for e in ELEMENTS)} |" for r in rows[:top]]
+    return "\n".join(out + (["", f"only the first {top} are shown"] if len(rows) > top else [])) + "\n"
+
+
+def review_message(open_: DataFrame) -> DataFrame:
+    """doc_id, message: what is left to do after a review, from checklist.open_summary()."""
+    part = lambda c, words: F.when(F.col(c) > 0, F.concat_ws(" ", F.col(c), F.lit(words)))
+    said = F.concat_ws(", ", part("to_confirm", "to confirm"), part("no_hint", "without a hint"), part("missing", "missing"))
+    done = F.concat(F.lit("nothing is open"), F.when(F.col("not_applicable") > 0, F.concat(F.lit(" ("), "not_applicable", F.lit(" not applicable)"))).otherwise(""))
+    return open_.select("doc_id", F.when(said == "", done).otherwise(F.concat(said, F.lit(" of "), "total", F.lit(" questions"))).alias("message"))

@@ -109,3 +109,29 @@ def test_values_match_in_rounds(spark):
         spark.createDataFrame(cur, "pair_id string, item_ord long, opening double"), spark.createDataFrame(pri, "pair_id string, item_ord long, key string, closing double"),
         spark.createDataFrame([(*k, v) for k, v in used.items()], "pair_id string, key string, used_at long"))
     assert {(r.pair_id, r.cur_ord, r.pri_ord) for r in got.collect()} == want and want
+
+
+def test_report_on_participations(spark):
+    from saldora.operators import rules
+
+    docs = spark.createDataFrame([("a", "Muster Bau GmbH, Wien, 50 % und Neu Holding AG"), ("b", "nichts davon")], "doc_id string, text string")
+    els, status = rules.participation_elements(docs), rules.participation_rule(docs)
+    said = sinks.participation_markdown(els, status, "a")
+    assert "| Muster Bau GmbH | yes | yes | no | no |" in said and "| Neu Holding AG | no | no | no | no |" in said and "PARTIAL" in said
+    assert "No participation" in sinks.participation_markdown(els, status, "b")
+    assert {r.element: r.names for r in sinks.missing_elements(els).collect()}["share"] == ["Neu Holding AG"]
+
+
+def test_messages_of_a_review(spark):
+    rows = spark.createDataFrame([("a", 2, 0, 1, 3, 9), ("b", 0, 0, 0, 4, 4), ("c", 0, 0, 0, 0, 1)], "doc_id string, to_confirm long, no_hint long, missing long, not_applicable long, total long")
+    got = {r.doc_id: r.message for r in sinks.review_message(rows).collect()}
+    assert got == {"a": "2 to confirm, 1 missing of 9 questions", "b": "nothing is open (4 not applicable)", "c": "nothing is open"}
+
+
+def test_command_line(spark, tmp_path):
+    from saldora.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "q.txt").write_text("1. Sind die Wertpapiere ausreichend beschrieben?")
+    assert main(["init", str(tmp_path / "c")]) == 0 and main(["questions", str(tmp_path / "in"), str(tmp_path / "q")]) == 0 and main([]) == 2
+    assert spark.read.json(str(tmp_path / "c")).count() == 5 and spark.read.parquet(str(tmp_path / "q")).first().item_id == "1"
