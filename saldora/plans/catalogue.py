@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saldora import schemas as S
 from saldora import sinks
 from saldora.functions import text as T
-from saldora.operators import align, checklist, items, profiles, ranges, reconcile, rules, sections, vouch, yoy
-from saldora.sources import checklists, files
+from saldora.operators import align, checklist, items, profiles, ranges, reconcile, sections, vouch, yoy
 
 QUERIES, SQL = {}, {}
 
