@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SCHEMA, prose
+from conftest import prose
 from saldora.llm import ranked_search, substring_dedup
 from saldora.llm.divergence import divergence
 from saldora.llm.ranked_search import search
