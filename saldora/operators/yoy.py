@@ -18,6 +18,7 @@ from saldora.lineage import cut
 
 FUZZY, SUFFIX, BY_VALUE = 0.95, 0.90, 0.80
 LEAST_KEY = 10
+STEPS = ("ratio", "suffix", "value")
 
 
 def keyed(items: DataFrame) -> DataFrame:
@@ -82,20 +83,25 @@ def by_suffix(cur: DataFrame, pri: DataFrame) -> DataFrame:
     return cur.join(one, ["pair_id", "key"]).select("pair_id", F.col("item_ord").alias("cur_ord"), "pri_ord", F.lit(SUFFIX).alias("score"))
 
 
-def by_value(open_: DataFrame, pri: DataFrame, used: DataFrame) -> DataFrame:
+def by_value(open_: DataFrame, pri: DataFrame, used: DataFrame, among_all: bool = False) -> DataFrame:
     """Exactly one prior item, of a key not used before, closes with the item's opening value (not near zero).
 
-    used: pair_id, key, used_at (the first current item that matched the key). Joined on the whole absolute amount
+    among_all: the prior item must be the only one among all that `used` leaves, also those that earlier items take in
+    this step; without it, the only one that is left when it is the item's turn. used: pair_id, key, used_at (the first current item that matched the key). Joined on the whole absolute amount
     and on what is left of it without its leading digit, the only amounts that values_match() can take as equal."""
     cents = lambda c: F.round(F.abs(F.col(c)) * 100).cast("long")
     short = lambda c: F.expr(f"try_cast(substr(cast(round(abs({c}) * 100) as decimal(20,0)), 2) as long)")
     marks = lambda c: F.array_distinct(F.filter(F.array(cents(c), cents(c) - 1, cents(c) + 1, short(c)), lambda x: x.isNotNull()))
     o = open_.where(F.abs("opening") >= 0.01).select("pair_id", F.col("item_ord").alias("cur_ord"), "opening", F.explode(marks("opening")).alias("mark"))
     p = pri.where("closing is not null").select("pair_id", F.col("item_ord").alias("pri_ord"), "key", "closing", F.explode(marks("closing")).alias("mark"))
-    hits = o.join(p, ["pair_id", "mark"]).where(T.values_match(F.col("opening"), F.col("closing"))).select("pair_id", "cur_ord", "pri_ord", "key").distinct()
-    hits = hits.join(used, ["pair_id", "key"], "left")
-
-    hits = cut(hits.where(F.isnull("used_at") | (F.col("used_at") >= F.col("cur_ord"))).drop("used_at"))
+    # Marks are several a row, more than a planner guesses: no side is broadcast.
+    hits = o.join(p.hint("merge"), ["pair_id", "mark"]).where(T.values_match(F.col("opening"), F.col("closing"))).select("pair_id", "cur_ord", "pri_ord", "key").distinct()
+    hits = hits.join(used.hint("merge"), ["pair_id", "key"], "left")
+
+    hits = hits.where(F.isnull("used_at") | (F.col("used_at") >= F.col("cur_ord"))).drop("used_at")
+    if among_all:
+        hits = hits.withColumn("n", F.count("*").over(Window.partitionBy("pair_id", "cur_ord"))).where("n = 1").drop("n")
+    hits = cut(hits)
     taken = hits.limit(0).select("pair_id", "cur_ord", "pri_ord")
     while hits.limit(1).count():
         # An item decides once no earlier one that is still open shares a key with it; the first of a pair always can.
@@ -109,22 +115,25 @@ def by_value(open_: DataFrame, pri: DataFrame, used: DataFrame) -> DataFrame:
     return taken.withColumn("score", F.lit(BY_VALUE))
 
 
-def compare(current: DataFrame, prior: DataFrame, current_text: DataFrame | None = None, prior_text: DataFrame | None = None) -> DataFrame:
-    """Rows of both sides with their status. current, prior: schemas.ITEMS with pair_id (string) instead of doc_id;
+def compare(current: DataFrame, prior: DataFrame, current_text: DataFrame | None = None, prior_text: DataFrame | None = None, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """Rows of both sides with their status. steps: what comes after equal keys; none for labels that identify an item
+    for certain, where a near label or an equal amount is another item's. current, prior: schemas.ITEMS with pair_id (string) instead of doc_id;
     the texts, pair_id and packed (all of a document as one key), suppress one-sided rows whose label is there."""
     cur, pri = cut(keyed(current)), cut(keyed(prior))
     at = lambda m: m.select("pair_id", F.col("cur_ord").alias("item_ord"))
     m1 = cut(by_key(cur, pri))
     rest = cut(cur.join(at(m1), ["pair_id", "item_ord"], "left_anti"))
-    m2 = cut(by_ratio(rest, pri))
-    rest = rest.join(at(m2), ["pair_id", "item_ord"], "left_anti")
-    m3 = by_suffix(rest, pri)
-    rest = rest.join(at(m3), ["pair_id", "item_ord"], "left_anti")
-    stage1 = cut(m1.unionByName(m2).unionByName(m3))
+    found = m1
+    if "ratio" in steps:
+        m2 = cut(by_ratio(rest, pri))
+        rest, found = rest.join(at(m2), ["pair_id", "item_ord"], "left_anti"), found.unionByName(m2)
+    if "suffix" in steps:
+        m3 = by_suffix(rest, pri)
+        rest, found = rest.join(at(m3), ["pair_id", "item_ord"], "left_anti"), found.unionByName(m3)
+    stage1 = cut(found)
     key_of = pri.select("pair_id", F.col("item_ord").alias("pri_ord"), "key")
     used = stage1.join(key_of, ["pair_id", "pri_ord"]).groupBy("pair_id", "key").agg(F.min("cur_ord").alias("used_at"))
-    m4 = by_value(rest.where("opening is not null"), pri, used)
-    matches = cut(stage1.unionByName(m4))
+    matches = cut(stage1.unionByName(by_value(rest.where("opening is not null"), pri, used))) if "value" in steps else stage1
 
     c = cur.select("pair_id", F.col("item_ord").alias("cur_ord"), F.col("label").alias("label"), F.col("key"), F.col("page").alias("page_current"), "opening")
     p = pri.select("pair_id", F.col("item_ord").alias("pri_ord"), F.col("label").alias("label_prior"), F.col("page").alias("page_prior"), "closing")
