@@ -25,6 +25,18 @@ def _words(a: str, b: str, of: int) -> float:
     return of * both / total if total else 0.0
 
 
+@F.pandas_udf(DoubleType())
+def words_dice(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Dice coefficient of two lists of words, each as often as it is there; 0 if both are empty."""
+
+    def one(x, y) -> float:
+        x, y = Counter(() if x is None else x), Counter(() if y is None else y)
+        total = sum(x.values()) + sum(y.values())
+        return 2.0 * sum((x & y).values()) / total if total else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def prose_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The better of the character ratio and the word-multiset Dice coefficient of two normalised paragraphs."""
