@@ -10,8 +10,8 @@ tokens, so it says how well the rest of the corpus predicts the document.
 
 Counts: every word of every document, summed in each task before the shuffle, kept in a table. Every task knows the
 COMMON most frequent words; the counts of all others are joined from the table by word. The network is trained in numpy
-on a fixed share of the documents (SHARE, by a hash of their tokens; what it trains on grows with the corpus): from a
-start on about START documents it goes on over each shard of about SHARD tokens, and the shards' networks are averaged
+on all documents (SHARE is 1; a larger one takes one in so many, by a hash of their tokens): from a start on about START
+documents it goes on over each shard of about SHARD tokens, and the shards' networks are averaged
 by their tokens, in tasks of at most FAN networks until one is left. Only that one (2 MB) comes to the driver.
 
 Defined cases. A null or empty text, or one without any token, has n_tokens 0, score 0 and a null mean. A token beyond
@@ -43,7 +43,7 @@ UNITS = GROUPS * ENDINGS
 COMMON = 100_000
 SPLIT, RANGE = 4096, 1 << 20
 UNSEEN = 1e-3
-SHARE, START, SHARD, FAN = 8, 400, 1 << 20, 64
+SHARE, START, SHARD, FAN = 1, 400, 1 << 22, 64
 EPOCHS, BATCH, RATE = 2, 4096, 0.1
 CACHE = 300_000
 SLICE = 256
