@@ -17,25 +17,31 @@ BANK_TOTAL = r"SUMME EURGGW|SUMME EUR |GESAMT-SUMME|GESAMTOBLIGO|SUMME OBLIGO|SU
 STAFF_NOTE = "average in the notes, head count at the closing date in the file: may differ by method"
 
 
-def _lines(pages: DataFrame) -> DataFrame:
-    staff = F.coalesce(F.lower("text").rlike(STAFF + "|mitarbeiter"), F.lit(False)).alias("staff")
-    return pages.select("doc_id", "page", staff, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
-
-
 def positions(pages: DataFrame) -> DataFrame:
-    """schemas.POSITIONS: liabilities and head count, the first of each document."""
-    page = Window.partitionBy("doc_id", "page").orderBy("n")
-    rows = _lines(pages).select(
-        "*", F.lead("line").over(page).alias("next"), F.collect_list("line").over(page.rowsBetween(-15, -1)).alias("before"))
-    own = T.trailing_numbers(F.col("line"))
-    liable = rows.where(F.col("line").rlike(r"(?Ui)Gesamtbetrag\s+der\s+Haftungsverh"))
-    liable = liable.select("*", F.when(F.size(own) > 0, own).otherwise(F.coalesce(T.trailing_numbers(F.col("next")), T.no_values())).alias("nums"), F.lit("Haftungsverhaeltnisse").alias("section"), F.lit("Gesamtbetrag der Haftungsverhältnisse").alias("label"), F.lit("").alias("note"))
-    staff = rows.where(F.col("line").rlike(r"(?Ui)^\s*Gesamt\b") & F.col("staff") & F.lower(F.array_join("before", "\n")).rlike(STAFF))
-    staff = staff.select("*", F.when(F.size(own) > 0, own).otherwise(T.all_numbers(F.col("line"))).alias("nums"), F.lit("Arbeitnehmer").alias("section"), F.lit("Durchschnittliche Arbeitnehmer (Gesamt)").alias("label"), F.lit(STAFF_NOTE).alias("note"))
-    staff = staff.where(F.get("nums", 0) > 0)
-    first = Window.partitionBy("doc_id", "section", "label").orderBy("page", "n")
-    found = liable.unionByName(staff).where(F.size("nums") > 0).withColumn("r", F.row_number().over(first)).where("r = 1")
-    return found.select("doc_id", "section", "label", F.get("nums", 0).alias("current_value"), F.get("nums", 1).alias("prior_value"), "page", F.trim("line").alias("source_line"), "note")
+    """schemas.POSITIONS: liabilities and head count, the first of each document.
+
+    A line meets its neighbours within its page's row; only the lines that disclose something are shuffled, as numbers."""
+    staff = F.coalesce(F.lower("text").rlike(STAFF + "|mitarbeiter"), F.lit(False))
+    rows = pages.select("doc_id", "page", staff.alias("staff"), F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    before = lambda i: F.lower(F.array_join(F.slice("l", F.greatest(i - 14, F.lit(1)), F.least(i, F.lit(15))), "\n"))
+    is_liable = lambda x: x.rlike(r"(?Ui)Gesamtbetrag\s+der\s+Haftungsverh")
+    is_total = lambda x, i: x.rlike(r"(?Ui)^\s*Gesamt\b") & F.col("staff") & before(i).rlike(STAFF)
+    told = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("n"), x.alias("line"), is_liable(x).alias("liable"), is_total(x, i).alias("total"))), lambda x: x["liable"] | x["total"])
+    rows = rows.select("*", F.explode(told).alias("x")).select("doc_id", "page", "x.*", F.get("l", F.col("x.n") + 1).alias("next"))
+    rows = rows.withColumn("own", T.trailing_numbers(F.col("line")))
+    below = lambda other: T.bind(F.when(F.size("own") > 0, F.col("own")).otherwise(other), lambda v: v)
+    liable = F.when(F.col("liable"), F.struct(F.lit(True).alias("liable"), below(F.coalesce(T.trailing_numbers(F.col("next")), T.no_values())).alias("nums")))
+    total = F.when(F.col("total"), F.struct(F.lit(False).alias("liable"), below(T.all_numbers(F.col("line"))).alias("nums")))
+    found = rows.select("doc_id", "page", "n", "line", F.explode(F.array_compact(F.array(liable, total))).alias("x")).select("doc_id", "page", "n", "line", "x.*")
+    found = found.select("doc_id", "page", "n", "line", "liable", F.size("nums").alias("k"), F.get("nums", 0).alias("current_value"), F.get("nums", 1).alias("prior_value"))
+    found = found.where((F.col("k") > 0) & (F.col("liable") | (F.col("current_value") > 0)))
+    # The row that none comes before. A row number of 1 would make Spark sort each task's rows before the shuffle, too.
+    first = Window.partitionBy("doc_id", "liable").orderBy("page", "n")
+    found = found.withColumn("earlier", F.lag("n").over(first)).where("earlier is null")
+    either = lambda a, b: F.when(F.col("liable"), a).otherwise(b)
+    return found.select(
+        "doc_id", either("Haftungsverhaeltnisse", "Arbeitnehmer").alias("section"), either("Gesamtbetrag der Haftungsverhältnisse", "Durchschnittliche Arbeitnehmer (Gesamt)").alias("label"),
+        "current_value", "prior_value", "page", F.trim("line").alias("source_line"), either("", STAFF_NOTE).alias("note"))
 
 
 def bank_totals(pages: DataFrame) -> DataFrame:
