@@ -48,7 +48,7 @@ def _labelled(rows: DataFrame) -> DataFrame:
     by_doc = Window.partitionBy("doc_id").orderBy("page", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = page.rowsBetween(Window.unboundedPreceding, -1)
     resets = F.coalesce(F.sum(F.col("kind").isin("pair", "noise", "heading", "numbers").cast("int")).over(before), F.lit(0))
-    rows = rows.select("*", (F.max((F.col("two") | (F.col("kind") == "pair")).cast("int")).over(by_doc) == 1).alias("latch"), F.lead("line").over(page).alias("next"), resets.alias("g"))
+    rows = rows.select("*", (F.max((F.col("two") | (F.col("kind") == "pair")).cast("int")).over(by_doc) == 1).alias("latch"), F.lead("line").over(page).alias("next"), F.coalesce(F.lead("own").over(page), F.lit("")).alias("next_own"), F.coalesce(F.lead("nums").over(page), T.no_values()).alias("next_nums"), resets.alias("g"))
     since = Window.partitionBy("doc_id", "page", "g").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     waiting = F.collect_list(F.when(F.col("kind") == "label", F.col("own"))).over(since)
     rows = rows.withColumn("waiting", waiting)
@@ -68,12 +68,11 @@ def extract_items(pages: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
     prior_line = F.trim(F.col("next")).rlike(r"(?Ui)^vorjahr\b")
     rows = rows.select(
         "*", ((F.col("kind") == "numbers") & T.is_label(F.col("label"))).alias("good"),
-        F.when(prior_line, T.label_and_numbers(F.regexp_replace(F.trim("next"), r"(?Ui)^vorjahr[\s.:]*", ""))["values"]).otherwise(T.no_values()).alias("prior"),
-        T.label_and_numbers(F.coalesce("next", F.lit(""))).alias("nx"))
+        F.when(prior_line, T.label_and_numbers(F.regexp_replace(F.trim("next"), r"(?Ui)^vorjahr[\s.:]*", ""))["values"]).otherwise(T.no_values()).alias("prior"))
     n = F.size("nums")
     by_prior = F.size("prior") > 0
-    numeric = (F.size("nx.values") > 0) & ~F.col("nx.label").rlike(_WORDS)
-    by_row = ~by_prior & F.col("asset") & ~(F.col("latch") & (n == 2)) & (n < 11) & numeric & (F.size("nx.values") >= F.greatest(F.lit(1), n - 2))
+    numeric = (F.size("next_nums") > 0) & ~F.col("next_own").rlike(_WORDS)
+    by_row = ~by_prior & F.col("asset") & ~(F.col("latch") & (n == 2)) & (n < 11) & numeric & (F.size("next_nums") >= F.greatest(F.lit(1), n - 2))
     rows = rows.select("*", (F.col("good") & by_prior).alias("r1"), (F.col("good") & by_row).alias("r2"))
     # A line that takes in its successor; in a run of such lines every other one is taken in itself.
     page = Window.partitionBy("doc_id", "page").orderBy("n")
@@ -85,7 +84,7 @@ def extract_items(pages: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
     pair = F.col("latch") & (n >= 2) & ~F.col("asset") & ~F.col("moves")
     wide = F.col("asset") & (n >= 11)
     one = lambda i: F.array(F.element_at("nums", i))
-    cur = F.when(F.col("r1"), F.col("nums")).when(F.col("r2"), F.col("nx.values")).when(pair, one(1)).when(wide, one(-1)).otherwise(F.col("nums"))
+    cur = F.when(F.col("r1"), F.col("nums")).when(F.col("r2"), F.col("next_nums")).when(pair, one(1)).when(wide, one(-1)).otherwise(F.col("nums"))
     pri = F.when(F.col("r1"), F.col("prior")).when(F.col("r2"), F.col("nums")).when(pair, one(2)).when(wide, one(-2)).otherwise(T.no_values())
     found = rows.select("doc_id", "page", F.lit(0).alias("part"), F.col("n").cast("long").alias("at"), F.left("label", F.lit(200)).alias("label"), cur.alias("current_values"), pri.alias("prior_values"), F.col("line").alias("source_line"), F.col("r2").alias("double_row"))
     found = found.unionByName(inline_pairs(pages).withColumns({"part": F.lit(1), "double_row": F.lit(False)}))
