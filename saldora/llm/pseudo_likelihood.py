@@ -23,18 +23,19 @@ scored alike; an empty table gives an empty result. Columns other than doc_id an
 from __future__ import annotations
 
 import copy
+import functools
 import re
+import sys
 import zlib
-from collections import Counter
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldora.llm.common import new_path, stash, tidy
-from saldora.llm.pretokens import Numbers, grown
+from saldora.llm.common import by_bytes, new_path, stash, tidy
+from saldora.llm.jaccard import PART, Powers
 
 SIDE, HIDDEN = 2, 16
 GROUPS, ENDINGS = 64, 64
@@ -46,22 +47,27 @@ UNSEEN = 1e-3
 SHARE, START, SHARD, FAN = 1, 400, 1 << 22, 64
 EPOCHS, BATCH, RATE = 2, 4096, 0.1
 CACHE = 300_000
-SLICE = 256
+SLICE = 1 << 20
+LONG = 64
 STEP = 8192
 tokens = re.compile(r"\w+|[^\w\s]").findall
 
 
+@functools.lru_cache(CACHE)
+def class_of(end: str) -> int:
+    return VOCABULARY + zlib.crc32(end.encode("utf-8", "surrogatepass")) % ENDINGS
+
+
 def ending(word: str) -> int:
-    return VOCABULARY + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % ENDINGS
+    return class_of(word[-2:])
 
 
-def by_group(units: np.ndarray):
-    """(group, the places of its units) of every group that is there."""
+def by_group(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order of units by group, the units in it, and (group, begin, end) of every group that is there."""
     order = np.argsort((units // ENDINGS).astype(np.uint8), kind="stable")
-    bounds = np.searchsorted(units[order] // ENDINGS, np.arange(GROUPS + 1)).tolist()
-    for g, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if a < b:
-            yield g, order[a:b]
+    y = units[order]
+    bounds = np.searchsorted(y // ENDINGS, np.arange(GROUPS + 1)).tolist()
+    return order, y, [(g, a, b) for g, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
 
 class Network:
@@ -71,13 +77,20 @@ class Network:
         r = np.random.default_rng(seed)
         normal = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
         self.e = normal(2 * SIDE, UNITS + 1, HIDDEN)
-        self.w, self.b = normal(HIDDEN, GROUPS), np.zeros(GROUPS, np.float32)
-        self.u, self.c = normal(GROUPS, HIDDEN, ENDINGS), np.zeros((GROUPS, ENDINGS), np.float32)
+        self.top, self.low = np.zeros((HIDDEN + 1, GROUPS), np.float32), np.zeros((GROUPS, HIDDEN + 1, ENDINGS), np.float32)
+        self.w[...] = normal(HIDDEN, GROUPS)
+        self.u[...] = normal(GROUPS, HIDDEN, ENDINGS)
         self.seen = [np.full_like(x, 1e-6) for x in self.parts]
 
     @property
     def parts(self) -> tuple[np.ndarray, ...]:
-        return self.e, self.w, self.b, self.u, self.c
+        return self.e, self.top, self.low
+
+    # the last row of top and low are the biases: hidden() ends in 1
+    w = property(lambda self: self.top[:HIDDEN])
+    b = property(lambda self: self.top[HIDDEN])
+    u = property(lambda self: self.low[:, :HIDDEN])
+    c = property(lambda self: self.low[:, HIDDEN])
 
     def to_bytes(self) -> bytes:
         return b"".join(x.tobytes() for x in self.parts)
@@ -99,74 +112,147 @@ class Network:
         return np.stack([pad[place + k] for k in range(-SIDE, SIDE + 1) if k])
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.e[k][near[k]] for k in range(2 * SIDE)))
+        total = self.e[0].take(near[0], 0)
+        for k in range(1, 2 * SIDE):
+            total += self.e[k].take(near[k], 0)
+        out = np.ones((len(total), HIDDEN + 1), np.float32)
+        np.tanh(total, out=out[:, :HIDDEN])
+        return out
+
+    def logits(self, h: np.ndarray, groups: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """What goes into the softmax over the groups and into that over the units of the row's group; rows by group."""
+        low = np.empty((len(h), ENDINGS), np.float32)
+        for g, a, b in groups:
+            np.matmul(h[a:b], self.low[g], out=low[a:b])
+        return h @ self.top, low
 
     def log_probs(self, units: np.ndarray, near: np.ndarray) -> np.ndarray:
-        out, small = np.empty(len(units), np.float32), self.small()
+        out = np.empty(len(units), np.float32)
         for k in range(0, len(units), STEP):
-            y = units[k : k + STEP]
-            h, part = self.hidden(near[:, k : k + STEP]), out[k : k + STEP]
-            part[...] = chosen(h @ self.w, self.b, y // ENDINGS, small)
-            for g, at in by_group(y):
-                part[at] += chosen(h[at] @ self.u[g], self.c[g], y[at] % ENDINGS, small)
+            order, y, groups = by_group(units[k : k + STEP])
+            top, low = self.logits(self.hidden(near[:, k : k + STEP].take(order, 1)), groups)
+            out[k : k + STEP][order] = chosen(top, y // ENDINGS) + chosen(low, y % ENDINGS)
         return out
 
-    def small(self) -> bool:
-        """Whether no exponential of what goes into a softmax can overflow."""
-        return max(float((np.abs(self.w).sum(0) + np.abs(self.b)).max()), float((np.abs(self.u).sum(1) + np.abs(self.c)).max())) < 60
-
     def train(self, units: np.ndarray, lens: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> None:
         """Adagrad on all tokens; goes on from earlier calls."""
-        near, r = self.around(units, lens), np.random.default_rng(seed)
+        near, r = np.ascontiguousarray(self.around(units, lens).T.astype(np.uint16)), np.random.default_rng(seed)
         for _ in range(epochs):
             order = r.permutation(len(units))
             for at in (order[k : k + BATCH] for k in range(0, len(units), BATCH)):
-                self._step(near[:, at], units[at])
+                self._step(near.take(at, 0).T, units.take(at))
 
     def _step(self, near: np.ndarray, y: np.ndarray) -> None:
+        order, y, groups = by_group(y)
+        near = near.take(order, 1)
         h = self.hidden(near)
-        p = errors(h @ self.w + self.b, y // ENDINGS, len(y))
-        back, grads = p @ self.w.T, []
-        for g, at in by_group(y):
-            q = errors(h[at] @ self.u[g] + self.c[g], y[at] % ENDINGS, len(y))
-            back[at] += q @ self.u[g].T
-            grads.append((g, h[at].T @ q, q.sum(0)))
-        back *= 1 - h * h
+        p, q = self.logits(h, groups)
+        errors(p, y // ENDINGS)
+        errors(q, y % ENDINGS)
+        back, low = np.empty((len(y), HIDDEN), np.float32), np.zeros_like(self.low)
+        for g, a, b in groups:
+            np.matmul(q[a:b], self.u[g].T, out=back[a:b])
+            np.matmul(h[a:b].T, q[a:b], out=low[g])
+        back += p @ self.w.T
+        back *= 1 - h[:, :HIDDEN] ** 2
         for k in range(2 * SIDE):
-            rows = np.argsort(near[k].astype(np.uint16), kind="stable")
-            there = near[k][rows]
-            first = np.flatnonzero(np.concatenate(([True], there[1:] != there[:-1])))
-            self._adapt(0, (k, there[first]), np.add.reduceat(back[rows], first))
-        self._adapt(1, ..., h.T @ p)
-        self._adapt(2, ..., p.sum(0))
-        for g, u, c in grads:
-            self._adapt(3, g, u)
-            self._adapt(4, g, c)
-
-    def _adapt(self, part: int, at, gradient: np.ndarray) -> None:
-        seen = self.seen[part][at] + gradient * gradient
-        self.seen[part][at] = seen
-        self.parts[part][at] -= RATE * gradient / np.sqrt(seen)
-
-
-def chosen(z: np.ndarray, bias: np.ndarray, y: np.ndarray, small: bool) -> np.ndarray:
-    """The log-probability of each row's choice under a softmax of z (overwritten) + bias; small: none is large."""
-    z += bias
-    if not small:
+            self._adapt(self.e[k], self.seen[0][k], sums(near[k], back, UNITS + 1))
+        self._adapt(self.top, self.seen[1], h.T @ p)
+        self._adapt(self.low, self.seen[2], low)
+
+    @staticmethod
+    def _adapt(part: np.ndarray, seen: np.ndarray, gradient: np.ndarray) -> None:
+        """Overwrites gradient. All of part is gone over, which is faster than to pick what has a gradient."""
+        seen += gradient * gradient
+        gradient *= RATE
+        gradient /= np.sqrt(seen)
+        part -= gradient
+
+
+def sums(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Row k of n is the sum of the rows whose key is k. They are added as complex numbers: half as many, twice as fast."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    keys = keys.take(order)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[keys[first]] = np.add.reduceat(rows.take(order, 0).view(np.complex64), first).view(np.float32)
+    return out
+
+
+def bounded(z: np.ndarray) -> None:
+    """Takes from each row its largest value, if an exponential could overflow or a row of them vanish otherwise."""
+    if z.max() > 60 or z.min() < -60:
         z -= z.max(1, keepdims=True)
+
+
+def chosen(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's choice under a softmax of z, which is overwritten."""
+    bounded(z)
     hit = z[np.arange(len(z)), y]
     np.exp(z, out=z)
     return hit - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
-def errors(z: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """The softmax's gradient, a mean over n rows."""
-    z -= z.max(1, keepdims=True)
+def errors(z: np.ndarray, y: np.ndarray) -> None:
+    """Turns z into the gradient of its softmax, a mean over the rows."""
+    bounded(z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(z)), y] -= 1
-    z /= n
-    return z
+    z /= (z @ np.full(z.shape[1], len(z), z.dtype))[:, None]
+    z[np.arange(len(z)), y] -= z.dtype.type(1 / len(z))
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """Of every code point, as the pattern of `tokens` has it: 0 white space, 1 part of a word, 2 a sign of its own."""
+    out, every = np.zeros(sys.maxunicode + 1, np.uint8), "".join(map(chr, range(sys.maxunicode + 1)))
+    for kind, runs in ((1, r"\w+"), (2, r"[^\w\s]+")):
+        for m in re.finditer(runs, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def cut(text: str):
+    """(begin, end) of parts of about PART characters, cut behind a line's end or a blank."""
+    at = 0
+    while at < len(text):
+        end = at + PART
+        if end < len(text):
+            back = max(text.rfind("\n", at, end), text.rfind(" ", at, end))
+            ahead = [k for k in (text.find("\n", end), text.find(" ", end)) if k >= 0] if back < 0 else [back]
+            end = min(ahead) + 1 if ahead else len(text)
+        yield at, (end := min(end, len(text)))
+        at = end
+
+
+def places(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """What `tokens` finds in the texts in lower case: how many in each, which word every token is, the words, once each,
+    and how often they are there. Words of up to LONG characters are told apart by 63 bits of a hash in their slice."""
+    lower = [t.lower() if t else "" for t in texts]
+    joined, kind_of, long = "\n".join(lower), kinds(), {}
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for at, end in cut(joined):
+        codes = np.frombuffer(joined[at:end].encode("utf-32-le", "surrogatepass"), np.uint32)
+        Powers.upto(len(codes) + 1)
+        kind = np.concatenate(([0], kind_of.take(codes), [0])).astype(np.uint8)
+        word, sign = kind == 1, (kind == 2)[1:-1]
+        a = np.flatnonzero(sign | (word[1:-1] & ~word[:-2]))
+        b = np.flatnonzero(sign | (word[1:-1] & ~word[2:])) + 1
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * Powers.up[: len(codes)], out=sums[1:])
+        key = (sums.take(b) - sums.take(a)) * Powers.down.take(a) | np.uint64(1 << 63)
+        for i in np.flatnonzero(b - a > LONG).tolist():
+            key[i] = long.setdefault(joined[at + a[i] : at + b[i]], len(long))
+        found.append((a + at, b + at, key))
+    begin, end, key = (np.concatenate(x) for x in zip(*found))
+    lens = np.diff(np.searchsorted(begin, np.concatenate(([0], np.cumsum([len(t) + 1 for t in lower])))))
+    order = np.argsort(key)
+    key = key.take(order)
+    new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = order[new]
+    words = [joined[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
+    return lens, at, words, np.diff(np.append(np.flatnonzero(new), len(key)))
 
 
 class Words:
@@ -179,47 +265,31 @@ class Words:
         self.counts = dict(top[VOCABULARY:])
         self.mass = {c: float(np.log(mass.get(c, 0) + 1)) for c in range(VOCABULARY, UNITS)}
 
-    def of(self, word: str) -> tuple[int, float]:
-        """Unit and count; for words of the vocabulary the count is infinite, for words outside top not a number."""
-        if (k := self.own.get(word)) is not None:
-            return k, np.inf
-        return ending(word), self.counts.get(word, np.nan)
-
-
-class Reader:
-    """Texts to units, through a cache of words."""
-
-    def __init__(self, words: Words, own: bool = True, cache: int = CACHE):
-        self.words, self.own = words, own
-        self.units, self.counts = np.zeros(1 << 12, np.uint16), np.zeros(1 << 12)
-        self.mass = np.array([words.mass[c] for c in range(VOCABULARY, UNITS)])
-        self.numbers = Numbers(self._learn, self._keep, cache)
-
-    def _keep(self, kept: np.ndarray) -> None:
-        self.units, self.counts = self.units[kept], self.counts[kept]
-
-    def _learn(self, words: list[str], n: int) -> None:
-        found = [self.words.of(w) for w in words]
-        self.units, self.counts = grown(self.units, n + len(words)), grown(self.counts, n + len(words))
-        self.units[n : n + len(words)] = [c for c, _ in found]
-        self.counts[n : n + len(words)] = [p for _, p in found]
-
-    def read(self, texts: list[str | None]):
-        """Tokens of each text; the units of all tokens; the sum over common words outside the vocabulary of each text;
-        and by text, all other words, once each, with how often the text has them: how many, which, how often."""
-        lists = [tokens(t.lower()) if t else [] for t in texts]
-        at, lens = self.numbers.of(lists)
-        doc = np.repeat(np.arange(len(lists)), lens)
-        units, counts = self.units[at], self.counts[at]
-        some = np.flatnonzero(units >= VOCABULARY)
-        _, first, times = np.unique(doc[some] * len(self.numbers) + at[some], return_index=True, return_counts=True)
-        first = some[first]
-        rare = np.isnan(counts[first])
-        known, k = first[~rare], times[~rare]
-        each = k * (np.log(np.maximum(counts[known] - k * self.own, 0) + UNSEEN) - self.mass[units[known].astype(np.int64) - VOCABULARY])
-        inside = np.bincount(doc[known], each, len(lists))
-        words = list(chain.from_iterable(lists))
-        return lens, units, inside, np.bincount(doc[first[rare]], minlength=len(lists)), [words[i] for i in first[rare].tolist()], times[rare]
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units and counts; for words of the vocabulary the count is infinite, for words outside top not a number."""
+        units, counts = np.fromiter(map(self.own.get, words, repeat(-1)), np.int64, len(words)), np.full(len(words), np.inf)
+        other = np.flatnonzero(units < 0)
+        rest = [words[i] for i in other.tolist()]
+        units[other] = [class_of(w[-2:]) for w in rest]
+        counts[other] = np.fromiter(map(self.counts.get, rest, repeat(np.nan)), float, len(rest))
+        return units, counts
+
+
+def units_of(texts: list[str | None], words: Words, own: bool = True):
+    """Tokens of each text; the units of all tokens; the sum over common words outside the vocabulary of each text;
+    and by text, all other words, once each, with how often the text has them: how many, which, how often."""
+    lens, at, list_, _ = places(texts)
+    of_word, counts = words.of(list_)
+    units, mass = of_word.take(at), np.array([words.mass[c] for c in range(VOCABULARY, UNITS)])
+    some = np.flatnonzero(units >= VOCABULARY)
+    doc = np.repeat(np.arange(len(lens)), lens)
+    pairs, times = np.unique(doc.take(some) * len(list_) + at.take(some), return_counts=True)
+    doc, word = np.divmod(pairs, max(1, len(list_)))
+    rare = np.isnan(counts[word])
+    known, k = word[~rare], times[~rare]
+    each = k * (np.log(np.maximum(counts[known] - k * own, 0) + UNSEEN) - mass[of_word[known] - VOCABULARY])
+    inside = np.bincount(doc[~rare], each, len(lens))
+    return lens, units, inside, np.bincount(doc[rare], minlength=len(lens)), [list_[i] for i in word[rare].tolist()], times[rare]
 
 
 def unit_scores(network: Network, units: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -233,17 +303,21 @@ def unit_scores(network: Network, units: np.ndarray, lens: np.ndarray) -> np.nda
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents."""
 
+    def rows(held: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
     @tidy
     def run(batches):
-        held: Counter = Counter()
+        held: dict[str, int] = {}
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                for text in batch.column(0).slice(k, SLICE).to_pylist():
-                    held.update(tokens(text.lower()) if text else ())
+            for part in by_bytes(batch, 0, SLICE):
+                _, _, words, times = places(part.column(0).to_pylist())
+                for w, k in zip(words, times.tolist()):
+                    held[w] = held.get(w, 0) + k
                 if len(held) > CACHE:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+                    yield rows(held)
                     held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        yield rows(held)
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -307,11 +381,9 @@ def read(docs: DataFrame, words: Words, own: bool = True) -> DataFrame:
 
     @tidy
     def run(batches):
-        tool = Reader(shared.value, own)
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                lens, units, inside, n, rare, times = tool.read(part.column(2).to_pylist())
+            for part in by_bytes(batch, 2, SLICE):
+                lens, units, inside, n, rare, times = units_of(part.column(2).to_pylist(), shared.value, own)
                 ends, flat = (2 * np.cumsum(lens)).tolist(), units.astype("<u2").tobytes()
                 upto = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
                 cells = pa.array([flat[a:b] for a, b in zip([0, *ends], ends)], pa.binary())
@@ -390,8 +462,7 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[Words, Network] | None = Non
     @tidy
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
+            for part in by_bytes(batch, 3, SLICE):
                 units, lens = flat(part.column(3).to_pylist())
                 score = unit_scores(shared.value, units, lens) + part.column(4).to_numpy()
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(score)], ["row_no", "doc_id", "n_tokens", "part"])
