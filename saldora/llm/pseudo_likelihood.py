@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saldora.llm.common import by_bytes, new_path, stash, tidy
-from saldora.llm.jaccard import PART, Powers
+from saldora.llm.jaccard import Powers
 
 SIDE, HIDDEN = 2, 16
 GROUPS, ENDINGS = 64, 64
@@ -47,8 +47,8 @@ UNSEEN = 1e-3
 SHARE, START, SHARD, FAN = 1, 400, 1 << 22, 64
 EPOCHS, BATCH, RATE = 2, 4096, 0.1
 CACHE = 300_000
-SLICE = 1 << 20
-LONG = 64
+SLICE, SCORED = 1 << 21, 1 << 18
+PART, LONG = 1 << 16, 64
 STEP = 8192
 tokens = re.compile(r"\w+|[^\w\s]").findall
 
@@ -136,15 +136,17 @@ class Network:
 
     def train(self, units: np.ndarray, lens: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> None:
         """Adagrad on all tokens; goes on from earlier calls."""
-        near, r = np.ascontiguousarray(self.around(units, lens).T.astype(np.uint16)), np.random.default_rng(seed)
+        rows, r = np.empty((len(units), 2 * SIDE + 1), np.uint16), np.random.default_rng(seed)
+        rows[:, :-1], rows[:, -1] = self.around(units, lens).T, units
         for _ in range(epochs):
             order = r.permutation(len(units))
-            for at in (order[k : k + BATCH] for k in range(0, len(units), BATCH)):
-                self._step(near.take(at, 0).T, units.take(at))
+            for k in range(0, len(units), BATCH):
+                self._step(rows.take(order[k : k + BATCH], 0))
 
-    def _step(self, near: np.ndarray, y: np.ndarray) -> None:
-        order, y, groups = by_group(y)
-        near = near.take(order, 1)
+    def _step(self, rows: np.ndarray) -> None:
+        """rows: the units around each token and its own."""
+        order, y, groups = by_group(rows[:, -1])
+        near = rows[:, :-1].T.astype(np.intp).take(order, 1)
         h = self.hidden(near)
         p, q = self.logits(h, groups)
         errors(p, y // ENDINGS)
@@ -156,27 +158,28 @@ class Network:
         back += p @ self.w.T
         back *= 1 - h[:, :HIDDEN] ** 2
         for k in range(2 * SIDE):
-            self._adapt(self.e[k], self.seen[0][k], sums(near[k], back, UNITS + 1))
-        self._adapt(self.top, self.seen[1], h.T @ p)
-        self._adapt(self.low, self.seen[2], low)
+            at, gradient = sums(near[k], back)
+            part, seen = self.e[k].take(at, 0), self.seen[0][k].take(at, 0)
+            adagrad(part, seen, gradient)
+            self.e[k][at], self.seen[0][k][at] = part, seen
+        adagrad(self.top, self.seen[1], h.T @ p)
+        adagrad(self.low, self.seen[2], low)
 
-    @staticmethod
-    def _adapt(part: np.ndarray, seen: np.ndarray, gradient: np.ndarray) -> None:
-        """Overwrites gradient. All of part is gone over, which is faster than to pick what has a gradient."""
-        seen += gradient * gradient
-        gradient *= RATE
-        gradient /= np.sqrt(seen)
-        part -= gradient
+
+def adagrad(part: np.ndarray, seen: np.ndarray, gradient: np.ndarray) -> None:
+    """A step, in place; overwrites gradient."""
+    seen += gradient * gradient
+    gradient *= RATE
+    gradient /= np.sqrt(seen)
+    part -= gradient
 
 
-def sums(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Row k of n is the sum of the rows whose key is k. They are added as complex numbers: half as many, twice as fast."""
+def sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, once each, and the sum of each one's rows, added as complex numbers: half as many, twice as fast."""
     order = np.argsort(keys.astype(np.uint16), kind="stable")
     keys = keys.take(order)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[keys[first]] = np.add.reduceat(rows.take(order, 0).view(np.complex64), first).view(np.float32)
-    return out
+    return keys[first], np.add.reduceat(rows.take(order, 0).view(np.complex64), first).view(np.float32)
 
 
 def bounded(z: np.ndarray) -> None:
@@ -462,7 +465,7 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[Words, Network] | None = Non
     @tidy
     def run(batches):
         for batch in batches:
-            for part in by_bytes(batch, 3, SLICE):
+            for part in by_bytes(batch, 3, SCORED):
                 units, lens = flat(part.column(3).to_pylist())
                 score = unit_scores(shared.value, units, lens) + part.column(4).to_numpy()
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(score)], ["row_no", "doc_id", "n_tokens", "part"])
